@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import sentencepiece_fst, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,13 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), 400, "none"))
 
 
+def op6_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what decoding makes of them, as a digest."""
+    return sentencepiece_fst.encode(table(spark, sf_dir, "documents"), digest=True)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_suffix_dedup,)}
+    return {f.__name__: f for f in (op5_suffix_dedup, op6_sentencepiece_fst)}
 
 
 def oracle_sql() -> dict[str, str]:
