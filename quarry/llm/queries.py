@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_fst, suffix_dedup
+from . import mixing, sentencepiece_fst, suffix_dedup, token_files
+from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +26,23 @@ def op6_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken."""
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the id files, read them back."""
+    import public_tokenizers
+
+    folder = f"{Scratch(spark, 'tokens').path}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, folder, digest=True)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_suffix_dedup, op6_sentencepiece_fst)}
+    return {f.__name__: f for f in (op5_suffix_dedup, op6_sentencepiece_fst, op9_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.SQL}
