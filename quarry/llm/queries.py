@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sentencepiece_fst, suffix_dedup, token_files
+from . import lm_scoring, mixing, quality_knn, sentencepiece_fst, suffix_dedup, token_files
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cross-entropy difference to the documents labelled good."""
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), lm_scoring.sample_target(table(spark, sf_dir, "labels")))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of a 400-byte string goes; lengths and digest of what is left."""
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), 400, "none"))
@@ -26,6 +31,11 @@ def op6_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by votes of labelled ones."""
+    return quality_knn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken."""
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
@@ -41,7 +51,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_suffix_dedup, op6_sentencepiece_fst, op9_mixing, op10_token_files)}
+    return {f.__name__: f for f in (op1_lm_scoring, op5_suffix_dedup, op6_sentencepiece_fst, op7_quality_knn, op9_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

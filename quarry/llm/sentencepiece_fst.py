@@ -32,7 +32,7 @@ MARK = "▁"
 SPACE, NEWLINE = 0x20, 0x0A
 #: Fixed value: what an unknown character costs beyond the lowest score.
 UNKNOWN_PENALTY = 10.0
-BLOCK = 8 << 20
+BLOCK = 24 << 20
 
 
 class Transducer:
@@ -214,6 +214,16 @@ class Encoder:
             yield i, j, ids, per_row(starts, sizes, off)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def worker_encoder(model: str) -> Encoder:
+    """One encoder per worker process: the words it knows serve its next tasks too."""
+    if model not in _ENCODERS:
+        _ENCODERS[model] = Encoder(model)
+    return _ENCODERS[model]
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -235,7 +245,7 @@ def encode(docs: DataFrame, model: str | None = None, columns: list[str] = ("doc
     path = model
 
     def run(batches):
-        coder = Encoder(path or default_model())
+        coder = worker_encoder(path or default_model())
         for b in batches:
             texts = b.column(b.num_columns - 1)
             raw, offsets = binary(texts)

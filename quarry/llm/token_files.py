@@ -28,7 +28,7 @@ from .common import Scratch, binary, blocks
 from .words import WordCoder, per_row
 
 NULL_ID = -(2**63)
-BLOCK = 8 << 20
+BLOCK = 24 << 20
 
 
 def _store(uri: str):
@@ -58,29 +58,52 @@ def write_bytes(uri: str, *parts) -> None:
 # cuts between words
 
 
-def _solid(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per byte: it surely ends, and it surely begins, a character that is no white space.
-
-    ASCII from ! to ~, and two-byte characters whose first byte is above 0xC2 (none of which
-    is white space); longer ones are left undecided, which costs a cut only."""
-    plain = (text > 0x20) & (text < 0x7F)
-    lead = (text >= 0xC3) & (text <= 0xDF)
-    ends = plain.copy()
-    ends[1:] |= lead[:-1] & (text[1:] >= 0x80)
-    return ends, plain | lead
-
-
 def word_starts(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of parts that a byte-level BPE splits at in any case: documents, and single
-    spaces between two characters that are no white space."""
-    cut = np.zeros(len(text) + 1, bool)
-    if len(text) > 2:
-        ends, begins = _solid(text)
-        cut[1:-2] = (text[1:-1] == 0x20) & ends[:-2] & begins[2:]
+    """Starts of parts between which this byte-level BPE never merges.
+
+    Its pattern takes letters, digits, other signs and white space in runs of one kind, a run
+    with the single space in front of it. So a text may be cut
+    - before a single space and around a single newline, between two characters that are no
+      white space,
+    - between a letter and an ASCII sign, in either order; but not behind an apostrophe,
+      which the pattern joins to some letters.
+    Letters are A-Z, a-z and the two-byte characters of Latin-1 except its two signs; a
+    character of any other kind is left undecided, which costs a cut only.
+    """
+    n = len(text)
+    cut = np.zeros(n + 1, bool)
+    if n > 2:
+        kind = _KIND[text]  # 1 letter, 2 sign, 3 digit, 0 anything else
+        latin = np.flatnonzero((text[:-1] == 0xC3) & (text[1:] != 0x97) & (text[1:] != 0xB7))
+        kind[latin] = kind[latin + 1] = 1
+        solid = kind > 0
+        between = solid[:-2] & solid[2:]
+        middle = text[1:-1]
+        cut[1 : n - 1] = between & ((middle == 0x20) | (middle == 0x0A))
+        cut[2:n] |= between & (middle == 0x0A)
+        a, b = kind[:-1], kind[1:]
+        cut[1:n] |= ((a == 1) & (b == 2)) | ((a == 2) & (b == 1) & (text[:-1] != 0x27))
     cut[offsets] = True
     return np.flatnonzero(cut[:-1])
 
 
+_KIND = np.zeros(256, np.int8)
+_KIND[0x21:0x7F] = 2
+_KIND[0x30:0x3A] = 3
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+
+
+_CODERS: dict[tuple[str, bool], WordCoder] = {}
+
+
+def worker_coder(path: str, special_is_text: bool) -> WordCoder:
+    """One coder per worker process: the words it knows serve its next tasks too."""
+    key = (path, special_is_text)
+    if key not in _CODERS:
+        _CODERS[key] = tokenizer_coder(path, special_is_text)
+    return _CODERS[key]
+
+
 def tokenizer_coder(path: str, special_is_text: bool = True) -> WordCoder:
     """Ids of words by the tokenizers library."""
     import os
@@ -110,7 +133,7 @@ def _shards(folder: str, path: str, end_id: int | None, special_is_text: bool):
             if not b.num_rows:
                 continue
             if coder is None:
-                coder = tokenizer_coder(path, special_is_text)
+                coder = worker_coder(path, special_is_text)
                 store, place = _store(f"{folder}/ids-{tag}.u32")
                 out = store.open_output_stream(place)
             data, offsets = binary(b.column(1))
