@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, mixing, quality_knn, sentencepiece_fst, suffix_dedup, token_files
+from . import lm_scoring, mixing, order_minhash, quality_knn, sentencepiece_fst, suffix_dedup, token_files
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), lm_scoring.sample_target(table(spark, sf_dir, "labels")))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return order_minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of a 400-byte string goes; lengths and digest of what is left."""
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), 400, "none"))
@@ -51,7 +56,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lm_scoring, op5_suffix_dedup, op6_sentencepiece_fst, op7_quality_knn, op9_mixing, op10_token_files)}
+    return {f.__name__: f for f in (op1_lm_scoring, op4_order_minhash, op5_suffix_dedup, op6_sentencepiece_fst, op7_quality_knn, op9_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
