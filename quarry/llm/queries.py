@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, mixing, order_minhash, quality_knn, sentencepiece_fst, suffix_dedup, token_files
+from . import learned_partitions, lm_scoring, mixing, mtree, order_minhash, quality_knn, sentencepiece_fst, suffix_dedup, token_files, tool_calls
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,18 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), lm_scoring.sample_target(table(spark, sf_dir, "labels")))
 
 
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows found for every 50th vector."""
+    e = table(spark, sf_dir, "embeddings")
+    return learned_partitions.search(e, e.filter("vec_id % 50 = 0"))
+
+
+def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest inner products for every 50th vector."""
+    e = table(spark, sf_dir, "embeddings")
+    return mtree.search(e, e.filter("vec_id % 50 = 0"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return order_minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
@@ -41,6 +53,11 @@ def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a call, with its answer, place, checks and canonical JSON."""
+    return tool_calls.link(*tool_calls.chat_calls(table(spark, sf_dir, "conversations")), tool_calls.CHAT_SCHEMAS)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken."""
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
@@ -56,8 +73,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lm_scoring, op4_order_minhash, op5_suffix_dedup, op6_sentencepiece_fst, op7_quality_knn, op9_mixing, op10_token_files)}
+    ops = (
+        op1_lm_scoring, op2_learned_partitions, op3_mtree, op4_order_minhash, op5_suffix_dedup, op6_sentencepiece_fst,
+        op7_quality_knn, op8_tool_calls, op9_mixing, op10_token_files,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.SQL}
+    return {"op3_mtree": mtree.SQL, "op8_tool_calls": tool_calls.SQL, "op9_mixing": mixing.SQL}

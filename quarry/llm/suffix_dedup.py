@@ -422,3 +422,46 @@ def brute_force(texts: list[bytes], length: int, keep: str) -> list[tuple[bytes,
             gone[d][p + 1 : p + 1 + length] = True
     return [(np.frombuffer(t, np.uint8)[~g[1:-1]].tobytes(), int((np.diff(g.astype(int)) == 1).sum())) for t, g in zip(texts, gone)]
 
+
+
+def _whole_characters(batches):
+    """(row, text without the removed bytes); a character that a cut would split stays whole."""
+    for b in batches:
+        data, offsets = binary(b.column("text"))
+        lists = b.column("spans")
+        off = lists.offsets.to_numpy()
+        starts, stops = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
+        at = b.schema.get_field_index("text")
+        out = b.column(at).to_pylist()
+        for i in np.flatnonzero(np.diff(off)):
+            text = data[offsets[i] : offsets[i + 1]].tobytes()
+            kept, last = [], 0
+            for s, e in merge(starts[off[i] : off[i + 1]], stops[off[i] : off[i + 1]]):
+                while s < e and text[s] & 0xC0 == 0x80:
+                    s += 1
+                while e < len(text) and e > s and text[e] & 0xC0 == 0x80:
+                    e -= 1
+                kept.append(text[last:s])
+                last = e
+            out[i] = b"".join([*kept, text[last:]]).decode("utf-8", "replace")
+        columns = [pa.array(out, pa.string()) if c == "text" else b.column(c) for c in b.schema.names if c != "spans"]
+        yield pa.RecordBatch.from_arrays(columns, [c for c in b.schema.names if c != "spans"])
+
+
+def without_repeats(docs: DataFrame, length: int = 400, k: int = K, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """docs with later copies of passages of `length` bytes cut from the column text; n_chars, if
+    there is one, follows. Rows of which only white space is left go; rows that had no more
+    before stay as they are."""
+    scratch = Scratch(docs.sparkSession, "repeats")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.xxhash64("doc_id", text)
+    base = docs.select(key.alias("rid"), F.col("doc_id").cast("bigint").alias("key"), text.alias("text"))
+    cuts = repeated_intervals(base, scratch, length, "first", k, group_rows)
+    cuts = scratch.save(cuts.groupBy(F.col("rid").alias("_rid")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "cuts")
+    joined = docs.withColumn("_rid", key).join(cuts, "_rid", "left").drop("_rid").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start: bigint, stop: bigint>>")))
+    out = joined.withColumn("_cut", F.size("spans") > 0)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.drop("spans").schema)
+    out = out.mapInArrow(_whole_characters, kinds).filter("not _cut or trim(text) <> ''")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
