@@ -1,7 +1,8 @@
-"""Token ids as flat unsigned 32-bit files with 64-bit document offsets.
+"""Token ids as flat files of unsigned integers with 64-bit document offsets.
 
 Layout of a folder (all numbers little-endian):
-  ids-*.u32      ids of the documents of one shard, one document after the other
+  ids-*.u16      ids of the documents of one shard, one document after the other; .u32 where
+                 the vocabulary has ids above 65,535
   offsets-*.u64  n + 1 positions of a shard's n documents, counted over all shards
   docs-*.i64     doc_id of each document; the lowest 64-bit integer stands for null
   manifest.json  shards in doc_id order: files, documents, ids and first position
@@ -122,7 +123,18 @@ def tokenizer_coder(path: str, special_is_text: bool = True) -> WordCoder:
     return WordCoder(code)
 
 
-def _shards(folder: str, path: str, end_id: int | None, special_is_text: bool):
+def id_type(path: str, end_id: int | None) -> str:
+    """The narrowest type that holds every id of a tokenizer, and end_id."""
+    from tokenizers import Tokenizer
+
+    most = max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+    return "u16" if max(most, end_id or 0) < 1 << 16 else "u32"
+
+
+DTYPES = {"u16": "<u2", "u32": "<u4"}
+
+
+def _shards(folder: str, path: str, end_id: int | None, special_is_text: bool, kind: str):
     def run(batches):
         from pyspark import TaskContext
 
@@ -134,7 +146,7 @@ def _shards(folder: str, path: str, end_id: int | None, special_is_text: bool):
                 continue
             if coder is None:
                 coder = worker_coder(path, special_is_text)
-                store, place = _store(f"{folder}/ids-{tag}.u32")
+                store, place = _store(f"{folder}/ids-{tag}.{kind}")
                 out = store.open_output_stream(place)
             data, offsets = binary(b.column(1))
             keys.append(b.column(0).fill_null(NULL_ID).to_numpy().astype("<i8"))
@@ -147,7 +159,7 @@ def _shards(folder: str, path: str, end_id: int | None, special_is_text: bool):
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts = counts + 1
-                out.write(ids.astype("<u4"))
+                out.write(ids.astype(DTYPES[kind]))
                 counts_all.append(counts)
                 ids_total += len(ids)
         if out is not None:
@@ -183,7 +195,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     scratch = Scratch(spark, "shards")
     _store(folder)[0].create_dir(_store(folder)[1], recursive=True)
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    made = scratch.save(ordered.mapInArrow(_shards(folder, tokenizer, end_id, special_is_text), "part bigint, tag string, docs bigint, ids bigint"), "shards")
+    kind = id_type(tokenizer, end_id)
+    made = scratch.save(ordered.mapInArrow(_shards(folder, tokenizer, end_id, special_is_text, kind), "part bigint, tag string, docs bigint, ids bigint"), "shards")
     shards, base = [], 0
     for r in made.orderBy("part").collect():  # one row per partition
         shards.append({"tag": r.tag, "docs": r.docs, "ids": r.ids, "base": base})
@@ -191,7 +204,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     if shards:
         frame = spark.createDataFrame(shards, "tag string, docs bigint, ids bigint, base bigint").repartition(len(shards), "tag")
         frame.mapInArrow(_offsets(folder), "tag string").count()
-    manifest = {"version": 1, "dtype": "u32", "ids": base, "docs": sum(s["docs"] for s in shards), "end_id": end_id, "shards": shards}
+    manifest = {"version": 1, "dtype": kind, "ids": base, "docs": sum(s["docs"] for s in shards), "end_id": end_id, "shards": shards}
     write_bytes(f"{folder}/manifest.json", json.dumps(manifest).encode())
     return manifest
 
@@ -200,23 +213,23 @@ def read_manifest(folder: str) -> dict:
     return json.loads(bytes(read_buffer(f"{folder}/manifest.json")))
 
 
-def open_shard(folder: str, shard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def open_shard(folder: str, shard: dict, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc ids, offsets over all shards, token ids), memory-mapped."""
-    return tuple(np.frombuffer(read_buffer(f"{folder}/{kind}-{shard['tag']}.{ext}"), dt) for kind, ext, dt in (("docs", "i64", "<i8"), ("offsets", "u64", "<u8"), ("ids", "u32", "<u4")))
+    return tuple(np.frombuffer(read_buffer(f"{folder}/{name}-{shard['tag']}.{ext}"), dt) for name, ext, dt in (("docs", "i64", "<i8"), ("offsets", "u64", "<u8"), ("ids", dtype, DTYPES[dtype])))
 
 
-def _read(folder: str, digest: bool):
+def _read(folder: str, digest: bool, dtype: str):
     def run(batches):
         for b in batches:
             for shard in b.to_pylist():
-                keys, off, ids = open_shard(folder, shard)
+                keys, off, ids = open_shard(folder, shard, dtype)
                 local = (off - off[0]).astype(np.int64)
                 for i in range(0, len(keys), 2048):
                     j = min(len(keys), i + 2048)
                     key = pa.array(keys[i:j], pa.int64(), mask=keys[i:j] == NULL_ID)
                     head = [key, pa.array(off[i:j].astype(np.int64)), pa.array(np.diff(local[i : j + 1]))]
                     if digest:
-                        crc = [zlib.crc32(ids[s:e]) for s, e in zip(local[i:j], local[i + 1 : j + 1])]
+                        crc = [zlib.crc32(ids[s:e].astype("<u4")) for s, e in zip(local[i:j], local[i + 1 : j + 1])]
                         yield pa.RecordBatch.from_arrays([*head, pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                     else:
                         part = pa.ListArray.from_arrays(pa.array((local[i : j + 1] - local[i]).astype(np.int32)), pa.array(ids[local[i] : local[j]].astype(np.int64)))
@@ -228,6 +241,7 @@ def _read(folder: str, digest: bool):
 def read_tokens(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, and ids or ids_crc32, from the files."""
     schema = "tag string, docs bigint, ids bigint, base bigint"
-    shards = read_manifest(folder)["shards"]
+    manifest = read_manifest(folder)
+    shards = manifest["shards"]
     frame = spark.createDataFrame(shards, schema).repartition(len(shards), "tag") if shards else spark.createDataFrame([], schema)
-    return frame.mapInArrow(_read(folder, digest), "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids array<bigint>"))
+    return frame.mapInArrow(_read(folder, digest, manifest["dtype"]), "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids array<bigint>"))
