@@ -2,8 +2,8 @@
 
 Sorting every suffix of the corpus is not needed to find matches of `length` bytes. Of
 each window of that length, the k-byte string with the smallest hash is its anchor, so
-equal windows have equal anchors at equal offsets. Only suffixes around anchors that
-occur twice are sorted:
+equal windows have equal anchors at equal offsets, and each window belongs to one anchor.
+Only suffixes around anchors that occur twice are sorted:
 
 1. anchors of every document (about 2 of each length - k + 2 positions), counted;
 2. the bytes around repeated anchors, gathered by anchor;
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, binary, blocks, mix, ragged, rows, slices
 
 K = 64
-GROUP_ROWS = 4096
+GROUP_ROWS = 1024
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = np.uint64(pow(int(BASE), -1, 2**64))
 INTERVAL = "rid bigint, start bigint, stop bigint"
@@ -79,7 +79,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int, hasher: Hasher):
-    """(row, position in the row, hash) of the leftmost smallest k-string of each window."""
+    """(row, position in the row, hash) of the leftmost smallest k-string of each window, and how
+    far before it the first and the last of its windows begin."""
     w = length - k + 1
     base = int(offsets[0])
     text = data[base : int(offsets[-1])]
@@ -87,15 +88,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int, hasher:
     h = hasher.windows(text, k)
     none = np.zeros(0, np.int64)
     if len(h) < w:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none, none
     low = np.uint64(0xFFFFFFFF)
     least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), w)
     starts = ragged(offsets[:-1] - base, np.maximum(sizes - length + 1, 0))
     picked = (least[starts] & low).astype(np.int64)
-    if len(picked):
-        picked = picked[np.append(True, picked[1:] != picked[:-1])]  # argmins never go back inside a document
+    opens = np.append(True, picked[1:] != picked[:-1])[: len(picked)]  # argmins never go back inside a document
+    closes = np.append(picked[1:] != picked[:-1], True)[: len(picked)]
+    most, least_ = picked[opens] - starts[opens], picked[closes] - starts[closes]
+    picked = picked[opens]
     row = np.searchsorted(offsets - base, picked, "right") - 1
-    return row, picked - (offsets[row] - base), h[picked]
+    return row, picked - (offsets[row] - base), h[picked], most, least_
 
 
 def periodic(text: np.ndarray, pos: np.ndarray, h: np.ndarray, length: int):
@@ -139,7 +142,7 @@ def _anchor_rows(length: int, k: int, first_stays: bool):
             data, offsets = binary(b.column(1))
             for i, j in blocks(offsets):
                 off = offsets[i : j + 1]
-                row, pos, h = anchors(data, off, length, k, hasher)
+                row, pos, h, far, close = anchors(data, off, length, k, hasher)
                 keep, found = np.ones(len(row), bool), []
                 edges = np.searchsorted(row, np.arange(j - i + 1))
                 same = np.append(h[1:] == h[:-1], False)
@@ -147,18 +150,18 @@ def _anchor_rows(length: int, k: int, first_stays: bool):
                     lo, hi = edges[r], edges[r + 1]
                     keep[lo:hi], runs = periodic(data[off[r] : off[r + 1]], pos[lo:hi], h[lo:hi], length)
                     found += [(rid[i + r], s + first_stays * p, e) for s, e, p in runs]
-                row, pos, h = row[keep], pos[keep], h[keep]
-                yield rows(["rid", "pos", "h", "stop"], rid[i + row], pos, h.view(np.int64), pa.nulls(len(row), pa.int64()))
+                row, pos, h, far, close = (x[keep] for x in (row, pos, h, far, close))
+                yield rows(["rid", "pos", "h", "far", "close", "stop"], rid[i + row], pos, h.view(np.int64), far.astype(np.int32), close.astype(np.int32), pa.nulls(len(row), pa.int64()))
                 if found:
                     a = np.array(found, np.int64)
-                    yield rows(["rid", "pos", "h", "stop"], a[:, 0], a[:, 1], pa.nulls(len(a), pa.int64()), a[:, 2])
+                    none = (pa.nulls(len(a), kind) for kind in (pa.int64(), pa.int32(), pa.int32()))
+                    yield rows(["rid", "pos", "h", "far", "close", "stop"], a[:, 0], a[:, 1], *none, a[:, 2])
 
     return run
 
 
-def _context_rows(length: int, k: int):
-    """The bytes around each listed anchor of a document."""
-    w = length - k
+def _context_rows(length: int):
+    """The bytes around each listed anchor of a document that its own windows cover."""
 
     def run(batches):
         for b in batches:
@@ -166,15 +169,14 @@ def _context_rows(length: int, k: int):
             data, offsets = binary(b.column(2))
             lists = b.column(3)
             off = lists.offsets.to_numpy()
-            pos, h, part = (lists.values.field(c).to_numpy() for c in ("pos", "h", "parts"))
+            pos, h, part, far, close = (lists.values.field(c).to_numpy() for c in ("pos", "h", "parts", "far", "close"))
             row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            pos, h, part = (x[off[0] : off[-1]] for x in (pos, h, part))
+            pos, h, part, far, close = (x[off[0] : off[-1]] for x in (pos, h, part, far, close))
             for a in range(0, len(row), 2048):
                 r, p = row[a : a + 2048], pos[a : a + 2048]
-                at, lo, hi = offsets[r] + p, offsets[r], offsets[r + 1]
-                left = np.minimum(p, w)
-                right = np.minimum(hi - at, length)
-                size = left + right
+                at = offsets[r] + p
+                left = far[a : a + 2048].astype(np.int64)
+                size = left + length - close[a : a + 2048]
                 ctx = data[ragged(at - left, size)]
                 ends = np.cumsum(size)
                 salt = (mix(rid[r].astype(np.uint64) ^ mix(p.astype(np.uint64))) % part[a : a + 2048].astype(np.uint64)).astype(np.int32)
@@ -332,14 +334,14 @@ def repeated_intervals(docs: DataFrame, scratch: Scratch, length: int = 400, kee
     whole = copied.filter("rid <> lead_rid") if first_stays else copied
     whole = whole.select("rid", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("stop"))
 
-    found = scratch.save(docs.select("rid", "text").mapInArrow(_anchor_rows(length, k, first_stays), "rid bigint, pos bigint, h bigint, stop bigint"), "anchors")
+    found = scratch.save(docs.select("rid", "text").mapInArrow(_anchor_rows(length, k, first_stays), "rid bigint, pos bigint, h bigint, far int, close int, stop bigint"), "anchors")
     marks = found.filter("h is not null").join(others, "rid", "left_anti")
     counts = marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / group_rows).cast("int").alias("parts")
-    lists = marks.join(counts.select("h", parts), "h").groupBy("rid").agg(F.collect_set(F.struct("pos", "h", "parts")).alias("marks"))
+    lists = marks.join(counts.select("h", parts), "h").groupBy("rid").agg(F.collect_set(F.struct("pos", "h", "parts", "far", "close")).alias("marks"))
     lists = scratch.save(lists, "lists")
     around = docs.join(others, "rid", "left_anti").join(lists, "rid").select("rid", "key", "text", "marks")
-    around = around.mapInArrow(_context_rows(length, k), "h bigint, salt int, split boolean, rid bigint, key bigint, pos bigint, left int, ctx binary")
+    around = around.mapInArrow(_context_rows(length), "h bigint, salt int, split boolean, rid bigint, key bigint, pos bigint, left int, ctx binary")
     grouped = around.repartition("h", "salt").sortWithinPartitions("h", "salt")
     settled = scratch.save(grouped.mapInArrow(_group_rows(length, k, first_stays), OUT_SCHEMA), "settled")
     heads = settled.filter("hash is not null")

@@ -29,7 +29,7 @@ from .common import Scratch, binary, blocks
 from .words import WordCoder, per_row
 
 NULL_ID = -(2**63)
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 
 
 def _store(uri: str):
