@@ -35,8 +35,8 @@ CLASSES = 1 << BITS
 BEGIN, END = 0, 1
 PRIOR = 16.0
 HEAD = 1 << 20
-BLOCK = 4 << 20
-HOLD = 3 << 20
+BLOCK = 1 << 20
+HOLD = 2 << 20
 BLOOM_BITS = 27
 #: Odd factors below 2**63 of the two multiplicative hashes.
 BLOOM_FACTORS = (0x1E3779B97F4A7C15, 0x42B2AE3D27D4EB4F)
@@ -113,7 +113,7 @@ class Table:
     """Look-up of values by key: open addressing, all keys of a batch side by side."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.mask = (1 << self.bits) - 1
         self.keys = np.full(1 << self.bits, -(1 << 62), np.int64)
         self.values = np.zeros(1 << self.bits)
