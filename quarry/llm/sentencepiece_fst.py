@@ -32,7 +32,7 @@ MARK = "▁"
 SPACE, NEWLINE = 0x20, 0x0A
 #: Fixed value: what an unknown character costs beyond the lowest score.
 UNKNOWN_PENALTY = 10.0
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 
 
 class Transducer:
