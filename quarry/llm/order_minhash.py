@@ -9,8 +9,12 @@ a link if 1 - edits / longer length >= `similarity`, by banded alignment of the
 
 Classes are the connected components of the links. In a bucket (the texts with one key,
 sorted by length) each text is compared with the bucket's first one and, if these
-components leave it apart from a neighbour, with the two before it; so the work is linear
-in the size of a bucket. Copies of a text are one node, found by digest.
+components leave it apart from a neighbour, with the two before it. In a bucket of more
+rows than that covers, whose texts are still in several components, all other pairs of
+different components are compared, in cells of a fixed number of rows: so each pair with
+an equal key that may be a link is aligned or already in one class. That last step grows
+with the square of the number of unlike texts in a bucket. Copies of a text are one node,
+found by digest.
 """
 
 from __future__ import annotations
@@ -27,6 +31,11 @@ from .suffix_dedup import Hasher
 
 K, SKETCHES, SIMILARITY = 5, 64, 0.8
 MEMBERS = 1024
+#: Buckets up to this size are covered by the first row and the two rows before each.
+COVERED = 4
+CELL = 512
+#: Above so many pairs left, a sixteenth is aligned first: its links settle most of the others.
+MANY_PAIRS = 1 << 18
 BLOCK = 1 << 20
 TOP = np.iinfo(np.uint64).max
 
@@ -122,11 +131,13 @@ def _pairs(key, nid, n, p, lead, similarity):
 
 
 def _bucket_rows(similarity: float):
-    """Sorted (key, n, nid, p) in; candidate pairs out. Only a bucket's first and last two rows
-    are carried from batch to batch, however large it is."""
+    """Sorted (key, n, nid, p) in; candidate pairs out, and all rows (as a, with b null) of buckets
+    of more than COVERED rows. Only a bucket's first COVERED and last two rows are carried from
+    batch to batch, however large it is."""
+    names = ["a", "b", "star", "key", "n", "p"]
 
     def run(batches):
-        carry = None
+        carry, hidden = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -139,20 +150,68 @@ def _bucket_rows(similarity: float):
             opens = np.append(True, key[1:] != key[:-1])
             lead = np.maximum.accumulate(np.where(opens, np.arange(len(key)), 0))
             fresh = np.arange(len(key)) >= skip
+            rank = np.arange(len(key)) - lead
+            rank[skip:][lead[skip:] == 0] += hidden if skip else 0
             shared = np.flatnonzero(fresh & (lead < np.arange(len(key))))
             if len(shared):
                 # rows that have company, with their leads and the two rows before them
                 want = np.unique(np.concatenate([shared, lead[shared], np.maximum(shared - 1, lead[shared]), np.maximum(shared - 2, lead[shared])]))
                 found = _pairs(key[want], nid[want], n[want], p[want], np.searchsorted(want, lead[want]), similarity)
                 a, c, star = (np.concatenate([f[i] for f in found]) for i in range(3))
-                yield rows(["a", "b", "star"], np.minimum(a, c), np.maximum(a, c), star)
-            first = lead[-1]
-            keep = np.unique([first, max(first, len(key) - 2), len(key) - 1])
+                none = (pa.nulls(len(a), kind) for kind in (pa.int64(), pa.int32(), pa.int32()))
+                yield rows(names, np.minimum(a, c), np.maximum(a, c), star, *none)
+            over = lead[fresh & (rank == COVERED)]
+            large = np.concatenate([np.flatnonzero(fresh & (rank >= COVERED)), *(over + i for i in range(COVERED))])
+            if len(large):
+                yield rows(names, nid[large], pa.nulls(len(large), pa.int64()), pa.nulls(len(large), pa.bool_()), key[large], n[large], p[large])
+            first, last = lead[-1], len(key) - 1
+            keep = np.unique([*(min(first + i, last) for i in range(COVERED)), max(first, last - 1), last])
+            hidden = int(rank[-1]) + 1 - len(keep)
             carry = [x[keep] for x in cols]
 
     return run
 
 
+def _cell_pairs(left, right, similarity):
+    """Pairs (a, b) of different components whose lengths and positions allow a link, of rows
+    (nid, label, n, p) on the left with rows on the right; all pairs once if right is None."""
+    other = left if right is None else right
+    (nid, label, n, p), (nid2, label2, n2, p2) = ([x[:, None] for x in left], [x[None, :] for x in other])
+    longer = np.maximum(n, n2)
+    slack = np.floor((1 - similarity) * longer + 1e-9)
+    ok = (label != label2) & (longer - np.minimum(n, n2) <= slack) & (np.abs(p - p2) <= slack)
+    i, j = np.nonzero(np.triu(ok, 1) if right is None else ok)
+    a, b = left[0][i], other[0][j]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _cell_rows(similarity: float):
+    """Rows (key, i, j, salt, nid, label, n, p) sorted by cell (key, i, j) in; pairs out."""
+
+    def settle(cols):
+        i, j, salt = cols[1][0], cols[2][0], cols[3]
+        parts = [[x[salt == s] for x in cols[4:]] for s in ((i,) if i == j else (i, j))]
+        return rows(["a", "b"], *_cell_pairs(parts[0], parts[1] if i != j else None, similarity))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in ("key", "i", "j", "salt", "nid", "label", "n", "p")]
+            if held is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[:3]], axis=0)) + 1
+            edges = np.concatenate([[0], new])
+            for s, e in zip(edges[:-1], edges[1:]):
+                yield settle([x[s:e] for x in cols])
+            held = [x[edges[-1] :] for x in cols]
+        if held is not None:
+            yield settle(held)
+
+    return run
+
+
 def _unequal_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both sequences without what they begin and end with alike."""
     n = min(len(a), len(b))
@@ -255,6 +314,30 @@ def _links(pairs: DataFrame, words: DataFrame, scratch: Scratch, name: str, simi
     return scratch.save(both.mapInArrow(_verify_rows(similarity), "a bigint, b bigint"), name)
 
 
+def _labelled(df: DataFrame, label: DataFrame, column: str) -> DataFrame:
+    """df with the component of a column's node as l<column>; a node without links is its own."""
+    known = label.select(F.col("node").alias(column), F.col("label").alias(f"l{column}"))
+    return df.join(known, column, "left").withColumn(f"l{column}", F.coalesce(f"l{column}", column))
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    return _labelled(_labelled(pairs.select("a", "b"), label, "a"), label, "b").filter("la <> lb").select("a", "b")
+
+
+def _others(large: DataFrame, label: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of different components of the rows (a, key, n, p) of large buckets,
+    as far as lengths and positions allow. A bucket is dealt out to cells of about CELL rows a side."""
+    member = scratch.save(_labelled(large.select("a", "key", "n", "p").distinct(), label, "a"), "members")
+    mixed = member.groupBy("key").agg(F.count("*").alias("m"), F.min("la").alias("low"), F.max("la").alias("high")).filter("low <> high")
+    dealt = member.join(mixed.select("key", F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "key")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("a", F.lit(7)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.select("key", F.least("salt", "t").alias("i"), F.greatest("salt", "t").alias("j"), "salt", F.col("a").alias("nid"), F.col("la").alias("label"), "n", "p")
+    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cells.mapInArrow(_cell_rows(similarity), "a bigint, b bigint").distinct()
+
+
 def _digest(text):
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
@@ -274,17 +357,25 @@ def classes(docs: DataFrame, k: int = K, sketches: int = SKETCHES, similarity: f
     source = docs.select(node, F.coalesce("text", F.lit("")).alias("text"))
     sketched = source.mapInArrow(_sketch_rows(k, sketches), "key bigint, nid bigint, n int, p int")
     buckets = sketched.repartition("key").sortWithinPartitions("key", "n", "nid")
-    found = buckets.mapInArrow(_bucket_rows(similarity), "a bigint, b bigint, star boolean")
-    found = scratch.save(found.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
-    nodes = found.select(F.col("a").alias("nid")).union(found.select("b")).distinct()
+    met = scratch.save(buckets.mapInArrow(_bucket_rows(similarity), "a bigint, b bigint, star boolean, key bigint, n int, p int"), "met")
+    found = scratch.save(met.filter("b is not null").groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    nodes = met.select(F.col("a").alias("nid")).union(met.filter("b is not null").select("b")).distinct()
     words = scratch.save(source.join(nodes, "nid", "left_semi").mapInArrow(_word_rows, "nid bigint, words binary").dropDuplicates(["nid"]), "words")
     links = _links(found.filter("star").select("a", "b"), words, scratch, "links", similarity)
-    first = components(links, scratch, "first")
+    label = components(links, scratch, "first")
     # neighbours in a bucket that its first text leaves apart
-    labelled = lambda df, c: df.join(first.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
-    apart = labelled(labelled(found.filter("not star"), "a"), "b").filter("la <> lb").select("a", "b")
-    more = _links(apart, words, scratch, "more", similarity)
-    label = components(links.unionByName(more), scratch, "all")
+    links = links.unionByName(_links(_apart(found.filter("not star"), label), words, scratch, "more", similarity))
+    label = components(links, scratch, "second")
+    # whatever is still apart in a bucket that these do not cover
+    rest = scratch.save(_others(met.filter("b is null"), label, scratch, similarity), "rest")
+    if left := rest.count():
+        if left > MANY_PAIRS:
+            sample = F.pmod(F.xxhash64("a", "b"), F.lit(16)) == 0
+            links = links.unionByName(_links(rest.filter(sample), words, scratch, "some", similarity))
+            label = components(links, scratch, "third")
+            rest = _apart(rest.filter(~sample), label)
+        links = links.unionByName(_links(rest, words, scratch, "others", similarity))
+        label = components(links, scratch, "all")
     member = slim.join(label, slim.nid == label.node, "left").select("doc_id", "digest", F.coalesce("label", "nid").alias("label"))
     size = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return member.join(size, "label").select("doc_id", "digest", "class_id", "class_size")

@@ -70,6 +70,39 @@ def test_against_brute_force(spark, corpus):
     assert {r.doc_id for r in keep_one(docs).collect()} == set(got.values())
 
 
+def test_pairs_far_apart_in_a_bucket(spark):
+    """Texts that share a long passage and nothing else, and near copies among them whose only
+    common keys are those of the passage."""
+    r = random.Random(3)
+    passage = [f"p{i}" for i in range(110)]
+    fresh = lambda m: [f"t{r.random()}" for _ in range(m)]
+    texts, group = [], []
+    for g in range(120):
+        tail = fresh(40)
+        texts.append(passage + tail)
+        group.append(g)
+        if g % 12 == 0:  # 24 edits in 150 words: no five of the tail in a row are left
+            texts.append(passage + [w if i % 5 in (0, 2) else f"t{r.random()}" for i, w in enumerate(tail)])
+            group.append(g)
+    order = r.sample(range(len(texts)), len(texts))
+    docs = spark.createDataFrame([(i, " ".join(texts[k])) for i, k in enumerate(order)], "doc_id long, text string").repartition(5)
+    first = {}
+    for i, k in enumerate(order):
+        first.setdefault(group[k], i)
+    got = {r.doc_id: r.class_id for r in classes(docs).collect()}
+    assert got == {i: first[group[k]] for i, k in enumerate(order)}
+
+
+def test_large_group_of_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr("quarry.llm.order_minhash.CELL", 16)
+    monkeypatch.setattr("quarry.llm.order_minhash.MANY_PAIRS", 16)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = [edited(r, base, 0.2 * r.random()) for _ in range(80)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    assert {r.class_size for r in classes(docs).collect()} == {len(texts)}
+
+
 def test_edge_cases(spark):
     long = " ".join(f"x{i}" for i in range(20000))
     rows = [(1, ""), (2, None), (3, "  "), (4, "a b"), (5, "a b"), (6, "a c"), (7, long), (8, long + " y"), (None, "a b"), (None, None), (7, long)]
