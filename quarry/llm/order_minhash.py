@@ -1,7 +1,7 @@
 """Near-duplicates by Order MinHash.
 
-A text is the sequence of its words. Its k-mers (k words in a row) are labelled with how
-often they have occurred before, so the labelled ones are distinct. For each of `sketches`
+A text is the sequence of its words. Its k-mers (k words in a row; 3, in texts of up to SHORT
+words 2, so that edits near the limit leave enough of them) are labelled with how often they have occurred before, so the labelled ones are distinct. For each of `sketches`
 random orders the 2 smallest labelled k-mers are taken in the order of the text and hashed
 to one key: unlike a set of minima, equal keys say that two k-mers come in the same order.
 Texts with an equal key whose lengths and positions allow it are candidates, and a pair is
@@ -29,7 +29,9 @@ from .components import components
 from .lm_scoring import _BLANK
 from .suffix_dedup import Hasher
 
-K, SKETCHES, SIMILARITY = 5, 64, 0.8
+K, SKETCHES, SIMILARITY = 3, 64, 0.8
+#: Texts up to SHORT words have k-mers of SHORT_K words at most.
+SHORT_K, SHORT = 2, 200
 MEMBERS = 1024
 #: Buckets up to this size are covered by the first row and the two rows before each.
 COVERED = 4
@@ -97,7 +99,15 @@ def sketch(kmers: np.ndarray, sizes: np.ndarray, sketches: int, seed: int = 1) -
     return keys, places
 
 
-def _sketch_rows(k: int, sketches: int):
+def _kinds(counts: np.ndarray, k: int, similarity: float):
+    """(k, texts with words) for each kind of k-mers. A text whose partners may be on both sides
+    of SHORT has both kinds, so every pair within the limit has one kind in common."""
+    if k <= SHORT_K:
+        return [(k, np.flatnonzero(counts))]
+    return [(SHORT_K, np.flatnonzero((counts > 0) & (counts * similarity <= SHORT + 1e-9))), (k, np.flatnonzero(counts > SHORT))]
+
+
+def _sketch_rows(k: int, sketches: int, similarity: float):
     def run(batches):
         hasher = Hasher()
         for b in batches:
@@ -105,12 +115,13 @@ def _sketch_rows(k: int, sketches: int):
             data, offsets = binary(b.column(1))
             for i, j in blocks(offsets, BLOCK):
                 words, counts = word_hashes(data, offsets[i : j + 1], hasher)
-                kmers, sizes = labelled_kmers(words, counts, k)
-                some = np.flatnonzero(sizes)
-                if not len(some):
-                    continue
-                keys, places = sketch(kmers, sizes[some], sketches)
-                yield rows(["key", "nid", "n", "p"], keys.ravel().view(np.int64), np.repeat(nid[i:j][some], sketches), np.repeat(counts[some], sketches).astype(np.int32), places.ravel())
+                begin = np.cumsum(counts) - counts
+                for size, some in _kinds(counts, k, similarity):
+                    if not len(some):
+                        continue
+                    kmers, sizes = labelled_kmers(words[ragged(begin[some], counts[some])], counts[some], size)
+                    keys, places = sketch(kmers, sizes, sketches)
+                    yield rows(["key", "nid", "n", "p"], keys.ravel().view(np.int64), np.repeat(nid[i:j][some], sketches), np.repeat(counts[some], sketches).astype(np.int32), places.ravel())
 
     return run
 
@@ -355,7 +366,7 @@ def classes(docs: DataFrame, k: int = K, sketches: int = SKETCHES, similarity: f
     node = F.xxhash64(_digest(F.col("text"))).alias("nid")
     slim = scratch.save(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest(F.col("text")).alias("digest")), "slim").withColumn("nid", F.xxhash64("digest"))
     source = docs.select(node, F.coalesce("text", F.lit("")).alias("text"))
-    sketched = source.mapInArrow(_sketch_rows(k, sketches), "key bigint, nid bigint, n int, p int")
+    sketched = source.mapInArrow(_sketch_rows(k, sketches, similarity), "key bigint, nid bigint, n int, p int")
     buckets = sketched.repartition("key").sortWithinPartitions("key", "n", "nid")
     met = scratch.save(buckets.mapInArrow(_bucket_rows(similarity), "a bigint, b bigint, star boolean, key bigint, n int, p int"), "met")
     found = scratch.save(met.filter("b is not null").groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")

@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm.order_minhash import banded_distance, classes, keep_one
+from quarry.llm.order_minhash import K, SIMILARITY, SKETCHES, _sketch_rows, banded_distance, classes, keep_one
 
 
 def plain_distance(a, b):
@@ -103,6 +104,30 @@ def test_large_group_of_edited_copies(spark, monkeypatch):
     assert {r.class_size for r in classes(docs).collect()} == {len(texts)}
 
 
+@pytest.mark.parametrize("edits", ["random", "one in five"])
+@pytest.mark.parametrize("n", [20, 40, 100, 200, 240, 250, 251, 400])
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_recall_near_the_limit(n, similarity, edits):
+    """At least 0.95 of pairs at the limit have an equal key at places that allow a link."""
+    r = random.Random(n)
+    most = int((1 - similarity) * n + 1e-9)
+    texts = []
+    for t in range(100):
+        base = [f"w{t}-{i}" for i in range(n)]
+        at = r.sample(range(n), most) if edits == "random" else range(2, n, 5)[:most]
+        copy = list(base)
+        for i in at:
+            copy[i] = f"e{t}-{i}"
+        texts += [base, copy]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([" ".join(t) for t in texts])], ["nid", "text"])
+    keys = [{} for _ in texts]
+    for out in _sketch_rows(K, SKETCHES, SIMILARITY)([batch]):
+        for key, nid, p in zip(*(out.column(c).to_pylist() for c in ("key", "nid", "p"))):
+            keys[nid][key] = p
+    found = sum(any(abs(p - b[key]) <= most for key, p in a.items() if key in b) for a, b in zip(keys[::2], keys[1::2]))
+    assert found >= 95
+
+
 def test_edge_cases(spark):
     long = " ".join(f"x{i}" for i in range(20000))
     rows = [(1, ""), (2, None), (3, "  "), (4, "a b"), (5, "a b"), (6, "a c"), (7, long), (8, long + " y"), (None, "a b"), (None, None), (7, long)]
