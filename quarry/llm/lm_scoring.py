@@ -228,8 +228,8 @@ def _score_rows(shared, head, bloom):
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """doc_id, n_tokens (words and the end mark), score of each row of docs (doc_id, text).
 
-    target_ids: doc_id of the target documents; at most a few ten thousand, as it is
-    broadcast (see sample_target). A null or empty text has one token, its end. A null
+    target_ids: doc_id of the target documents, of any number (see targets); they meet the
+    texts by a shuffle. A null or empty text has one token, its end. A null
     doc_id is scored and never in the target; repeated rows are counted and scored each.
     Without target rows its model is uniform. Other columns take no part; an empty table
     gives an empty result.
@@ -237,8 +237,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    good = F.broadcast(target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("good", F.lit(True)))
-    marked = base.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    ids = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
+    # no hint: ids grow with the input, and rows without doc_id would all meet in one task
+    marked = base.filter("doc_id is not null").join(ids.withColumn("good", F.lit(True)), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = marked.unionByName(base.filter("doc_id is null").select("text", F.lit(False).alias("good")))
     parts = marked.mapInArrow(_count_rows, "key bigint, b bigint, t bigint")
     summed = parts.groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
     counts = scratch.save(summed.filter("key < 0 or b > 1 or t > 0"), "counts")
@@ -270,10 +272,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     return sums.select("doc_id", "n_tokens", (F.col("d") / F.col("n_tokens")).alias("score"))
 
 
-def sample_target(labels: DataFrame, most: int = 20_000) -> DataFrame:
-    """doc_id of up to `most` documents labelled good and not toxic, chosen by hash."""
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def targets(labels: DataFrame) -> DataFrame:
+    """doc_id of all documents labelled good and not toxic."""
+    return labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
 
 
 def brute_force(texts: list[str], good: list[bool]) -> list[tuple[int, float]]:

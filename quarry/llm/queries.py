@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cross-entropy difference to the documents labelled good."""
-    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), lm_scoring.sample_target(table(spark, sf_dir, "labels")))
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), lm_scoring.targets(table(spark, sf_dir, "labels")))
 
 
 def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:

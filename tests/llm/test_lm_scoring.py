@@ -4,6 +4,7 @@ import pytest
 
 from quarry.llm import lm_scoring
 from quarry.llm.lm_scoring import brute_force, cross_entropy_difference
+from quarry.llm.queries import op1_lm_scoring
 
 
 @pytest.mark.parametrize("head", [4, 1 << 19])
@@ -29,5 +30,17 @@ def test_target_like_texts_score_lower(spark):
     assert max(r.score for r in rows if r.doc_id and r.doc_id % 2 and r.n_tokens > 1) < min(r.score for r in rows if r.doc_id is not None and r.doc_id % 2 == 0)
 
 
+def test_every_good_label_is_target(spark, tmp_path):
+    n = 24_000
+    spark.range(n).selectExpr("id as doc_id", "concat('w', id % 50, ' x', id % 7) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id as doc_id", "int(id % 8 <> 0) as quality", "if(id % 40 = 1, 1, if(id % 3 = 0, null, 0)) as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    good = [i % 8 != 0 and i % 40 != 1 for i in range(n)]
+    assert sum(good) > 20_000
+    want = brute_force([f"w{i % 50} x{i % 7}" for i in range(n)], good)
+    got = {r.doc_id: r.score for r in op1_lm_scoring(spark, str(tmp_path)).collect()}
+    assert len(got) == n
+    assert all(abs(got[i] - score) < 1e-9 for i, (_, score) in enumerate(want))
+
+
 def test_empty_table(spark):
     assert cross_entropy_difference(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long")).count() == 0
