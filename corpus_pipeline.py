@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import mixing, order_minhash, quality_knn, sentencepiece_fst, suffix_dedup
 from quarry.llm.common import Scratch
 
-#: Bytes of a passage that count as repeated: about 50 words.
-PASSAGE_BYTES = 300
+#: Words of a passage that count as repeated: more than 50.
+PASSAGE_WORDS = 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of long passages are cut; documents of which nothing is left go."""
-    return suffix_dedup.without_repeats(docs, PASSAGE_BYTES)
+    return suffix_dedup.without_repeats(docs, PASSAGE_WORDS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ K = 64
 GROUP_ROWS = 1024
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = np.uint64(pow(int(BASE), -1, 2**64))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 INTERVAL = "rid bigint, start bigint, stop bigint"
 
 
@@ -324,7 +326,7 @@ def repeated_intervals(docs: DataFrame, scratch: Scratch, length: int = 400, kee
     if not 1 <= k < length or keep not in ("first", "none"):
         raise ValueError("k must be below length; keep is 'first' or 'none'")
     first_stays = keep == "first"
-    docs = docs.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).filter(F.octet_length("text") >= length)
+    docs = docs.withColumn("digest", F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))).filter(F.octet_length("text") >= length)
     # copies of whole texts: the first in text order stands for all
     slim = scratch.save(docs.select("rid", "key", "digest", F.octet_length("text").cast("bigint").alias("size")), "slim")
     order = F.struct(F.col("key").isNull(), "key", "rid")
@@ -426,44 +428,70 @@ def brute_force(texts: list[bytes], length: int, keep: str) -> list[tuple[bytes,
 
 
 
-def _whole_characters(batches):
-    """(row, text without the removed bytes); a character that a cut would split stays whole."""
+#: Bytes that stand for a word in passages counted in words.
+WORD_BYTES = 8
+
+
+def _words(text: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, 64-bit hashes) of the words between white space."""
+    full = np.pad(~_BLANK[text], 1)
+    edge = np.diff(full.astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sums = hasher.prefix(text)
+    return starts, mix((sums[ends] - sums[starts]) * hasher.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def _coded_rows(batches):
+    """(rid, key, text) with each word of the text as WORD_BYTES bytes, its hash."""
+    hasher = Hasher()
+    for b in batches:
+        data, offsets = binary(b.column("text"))
+        for i, j in blocks(offsets):
+            coded = [_words(data[s:e], hasher)[1].tobytes() for s, e in zip(offsets[i:j], offsets[i + 1 : j + 1])]
+            yield rows(["rid", "key", "text"], b.column("rid").slice(i, j - i), b.column("key").slice(i, j - i), pa.array(coded, pa.binary()))
+
+
+def _without_words(batches):
+    """Texts without the words that spans (byte offsets in coded words) cover, and the white space after them."""
+    hasher = Hasher()
     for b in batches:
         data, offsets = binary(b.column("text"))
         lists = b.column("spans")
         off = lists.offsets.to_numpy()
         starts, stops = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
+        # part of a word at the end of a match is chance, not a repeated word
+        starts, stops = -(-starts // WORD_BYTES), stops // WORD_BYTES
         at = b.schema.get_field_index("text")
         out = b.column(at).to_pylist()
         for i in np.flatnonzero(np.diff(off)):
-            text = data[offsets[i] : offsets[i + 1]].tobytes()
-            kept, last = [], 0
+            text = data[offsets[i] : offsets[i + 1]]
+            edges = np.append(_words(text, hasher)[0], len(text))
+            raw, kept, last = text.tobytes(), [], 0
             for s, e in merge(starts[off[i] : off[i + 1]], stops[off[i] : off[i + 1]]):
-                while s < e and text[s] & 0xC0 == 0x80:
-                    s += 1
-                while e < len(text) and e > s and text[e] & 0xC0 == 0x80:
-                    e -= 1
-                kept.append(text[last:s])
-                last = e
-            out[i] = b"".join([*kept, text[last:]]).decode("utf-8", "replace")
+                kept.append(raw[last : edges[s]])
+                last = edges[e]
+            out[i] = b"".join([*kept, raw[last:]]).decode("utf-8", "replace")
         columns = [pa.array(out, pa.string()) if c == "text" else b.column(c) for c in b.schema.names if c != "spans"]
         yield pa.RecordBatch.from_arrays(columns, [c for c in b.schema.names if c != "spans"])
 
 
-def without_repeats(docs: DataFrame, length: int = 400, k: int = K, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """docs with later copies of passages of `length` bytes cut from the column text; n_chars, if
-    there is one, follows. Rows of which only white space is left go; rows that had no more
-    before stay as they are."""
+def without_repeats(docs: DataFrame, words: int = 51, k: int = K, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """docs with later copies of passages of `words` words cut from the column text, whatever their
+    length in bytes and the white space between them; n_chars, if there is one, follows. Rows of
+    which only white space is left go; rows that had no more before stay as they are.
+
+    The suffix orders are those of the texts' words, each coded as WORD_BYTES bytes."""
     scratch = Scratch(docs.sparkSession, "repeats")
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.xxhash64("doc_id", text)
     base = docs.select(key.alias("rid"), F.col("doc_id").cast("bigint").alias("key"), text.alias("text"))
-    cuts = repeated_intervals(base, scratch, length, "first", k, group_rows)
+    coded = scratch.save(base.mapInArrow(_coded_rows, "rid bigint, key bigint, text binary"), "coded")
+    cuts = repeated_intervals(coded, scratch, words * WORD_BYTES, "first", k, group_rows)
     cuts = scratch.save(cuts.groupBy(F.col("rid").alias("_rid")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "cuts")
     joined = docs.withColumn("_rid", key).join(cuts, "_rid", "left").drop("_rid").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start: bigint, stop: bigint>>")))
     out = joined.withColumn("_cut", F.size("spans") > 0)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.drop("spans").schema)
-    out = out.mapInArrow(_whole_characters, kinds).filter("not _cut or trim(text) <> ''")
+    out = out.mapInArrow(_without_words, kinds).filter("not _cut or trim(text) <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from quarry.llm.suffix_dedup import brute_force, digest, suffix_dedup
+import corpus_pipeline
+from quarry.llm.suffix_dedup import brute_force, digest, suffix_dedup, without_repeats
 
 
 def corpus(seed=1, n=60):
@@ -42,6 +43,29 @@ def test_against_brute_force(spark, keep, length, k, group_rows):
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_passages_in_words(spark):
+    """Passages of 51 words go, of 50 stay, whatever their length in bytes and their white space."""
+    r = random.Random(2)
+    fresh = lambda m: [f"é{r.randrange(10**9)}" for _ in range(m)]
+    short = [r.choice("abcdefgh") for _ in range(51)]
+    long = [w * 9 for w in fresh(60)]
+    fifty = [w * 9 for w in fresh(50)]
+    texts, want = [], []
+    for passage, gone in ((short, True), (long, True), (fifty, False)):
+        for copy in range(3):
+            a, b = fresh(9), fresh(7)
+            texts.append(" ".join(a) + "\n" + ("  " if copy == 2 else " ").join(passage) + " " + " ".join(b))
+            want.append(" ".join(a) + "\n" + " ".join(b) if gone and copy else texts[-1])
+    texts += [" ".join(short), "", None, " \n"]
+    want += [None, "", None, " \n"]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int").repartition(3)
+    got = {r.doc_id: r for r in without_repeats(docs, corpus_pipeline.PASSAGE_WORDS).collect()}
+    assert set(got) == set(range(len(texts))) - {9}
+    for i, row in got.items():
+        assert row.text == want[i], i
+        assert row.n_chars == len(want[i] or "")
+
+
 def test_repeated_rows_and_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, t), (1, t), (None, t), (2, None)], "doc_id bigint, text string")
