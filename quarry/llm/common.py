@@ -19,10 +19,12 @@ BLOCK_BYTES = 1 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); where that is
-    unset, as in tests, a folder of this machine."""
+    unset and all runs on this machine, as in tests, a folder of it."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quarry-")
@@ -41,7 +43,11 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        return self.load(name, df.schema)
+
+    def load(self, name: str, schema=None) -> DataFrame:
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
         self._delete(f"{self.path}/{name}")
@@ -55,6 +61,17 @@ class Scratch:
             pass
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """names, with underscores behind them as far as a column of `taken` has the name already."""
+    have, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without a copy; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,20 +1,25 @@
 """Near-duplicates by Order MinHash.
 
-A text is the sequence of its words. Its k-mers (k words in a row; 3, in texts of up to SHORT
-words 2, so that edits near the limit leave enough of them) are labelled with how often they have occurred before, so the labelled ones are distinct. For each of `sketches`
+A text is the sequence of its words. Its k-mers (k words in a row; 3, in texts of up to
+SHORT words 2, so that edits near the limit leave enough of them) are labelled with how
+often they have occurred before, so the labelled ones are distinct. For each of `sketches`
 random orders the 2 smallest labelled k-mers are taken in the order of the text and hashed
 to one key: unlike a set of minima, equal keys say that two k-mers come in the same order.
 Texts with an equal key whose lengths and positions allow it are candidates, and a pair is
 a link if 1 - edits / longer length >= `similarity`, by banded alignment of the words.
 
-Classes are the connected components of the links. In a bucket (the texts with one key,
-sorted by length) each text is compared with the bucket's first one and, if these
-components leave it apart from a neighbour, with the two before it. In a bucket of more
-rows than that covers, whose texts are still in several components, all other pairs of
-different components are compared, in cells of a fixed number of rows: so each pair with
-an equal key that may be a link is aligned or already in one class. That last step grows
-with the square of the number of unlike texts in a bucket. Copies of a text are one node,
-found by digest.
+Classes are the connected components of the links. A bucket is the texts with one key, in
+one order that is the same in all buckets. Each text meets the first one of each of its
+buckets, so that in a group of copies most buckets name the same pairs. It is aligned with
+the one that it shares most keys with, then with the others as far as the links found so
+far leave them apart. In a bucket of more than COVERED texts that are still in several
+components, all other pairs of different components are aligned, in cells of a fixed number
+of rows: so each pair with an equal key that may be a link is aligned or already in one
+class. That last step grows with the square of the number of unlike texts in a bucket.
+
+Rows of docs are numbered once, in a written table; copies of a text, found by 128-bit
+digest, are one node. Tasks settle keys that many of their own texts share before the
+shuffle, so a bucket gets one row of each such run, however many texts have its key.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary, blocks, mix, ragged, rows
+from .common import Scratch, binary, blocks, free_names, mix, ragged, rows, slices
 from .components import components
 from .lm_scoring import _BLANK
 from .suffix_dedup import Hasher
@@ -33,9 +38,11 @@ K, SKETCHES, SIMILARITY = 3, 64, 0.8
 #: Texts up to SHORT words have k-mers of SHORT_K words at most.
 SHORT_K, SHORT = 2, 200
 MEMBERS = 1024
-#: Buckets up to this size are covered by the first row and the two rows before each.
+#: All pairs of buckets up to this size are candidates.
 COVERED = 4
 CELL = 512
+#: Texts whose keys a task holds at a time, and how many of them may share a key before it is settled there.
+HOLD, LOCAL = 1 << 13, 64
 #: Above so many pairs left, a sixteenth is aligned first: its links settle most of the others.
 MANY_PAIRS = 1 << 18
 BLOCK = 1 << 20
@@ -107,78 +114,153 @@ def _kinds(counts: np.ndarray, k: int, similarity: float):
     return [(SHORT_K, np.flatnonzero((counts > 0) & (counts * similarity <= SHORT + 1e-9))), (k, np.flatnonzero(counts > SHORT))]
 
 
-def _sketch_rows(k: int, sketches: int, similarity: float):
+def _text_rows(k: int, sketches: int, similarity: float):
+    """(row, doc_id, digest, text) in; the text's words (4 bytes each), keys (8) and places (4) out."""
+    names = ["row", "doc_id", "digest", "n", "words", "keys", "places"]
+
     def run(batches):
         hasher = Hasher()
         for b in batches:
-            nid = b.column(0).to_numpy()
-            data, offsets = binary(b.column(1))
+            data, offsets = binary(b.column("text"))
             for i, j in blocks(offsets, BLOCK):
                 words, counts = word_hashes(data, offsets[i : j + 1], hasher)
                 begin = np.cumsum(counts) - counts
+                found = np.zeros(j - i, np.int64)
+                parts = []
                 for size, some in _kinds(counts, k, similarity):
-                    if not len(some):
-                        continue
-                    kmers, sizes = labelled_kmers(words[ragged(begin[some], counts[some])], counts[some], size)
-                    keys, places = sketch(kmers, sizes, sketches)
-                    yield rows(["key", "nid", "n", "p"], keys.ravel().view(np.int64), np.repeat(nid[i:j][some], sketches), np.repeat(counts[some], sketches).astype(np.int32), places.ravel())
+                    if len(some):
+                        kmers, sizes = labelled_kmers(words[ragged(begin[some], counts[some])], counts[some], size)
+                        parts.append((np.repeat(some, sketches), *(x.ravel() for x in sketch(kmers, sizes, sketches))))
+                        found[some] += sketches
+                owner, keys, places = (np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, kind) for c, kind in enumerate((np.int64, np.uint64, np.int32)))
+                turn = np.argsort(owner, kind="stable")
+                lists = [(words >> np.uint64(32)).astype(np.uint32), keys[turn], places[turn].astype(np.int32)]
+                ends = [np.cumsum(c) * x.itemsize for c, x in zip((counts, found, found), lists)]
+                yield rows(names, *(b.column(c).slice(i, j - i) for c in names[:3]), counts.astype(np.int32), *(slices(x, np.append(0, e)[:-1], int(e[-1])) for x, e in zip(lists, ends)))
 
     return run
 
 
-def _pairs(key, nid, n, p, lead, similarity):
-    """Pairs of rows of a sorted run of buckets: (a, b, star) by index; lead = first row of each row's bucket."""
-    out = []
-    at = np.arange(len(key))
-    for star, back in ((True, at - lead), (False, 1), (False, 2)):
-        other = at - back
-        ok = (other >= lead) & (other != at) & (star | (other != lead))
-        a, b = other[ok], at[ok]
-        longer = np.maximum(n[a], n[b])
-        slack = np.floor((1 - similarity) * longer + 1e-9)
-        ok = (nid[a] != nid[b]) & (longer - np.minimum(n[a], n[b]) <= slack) & (np.abs(p[a] - p[b]) <= slack)
-        out.append((nid[a[ok]], nid[b[ok]], np.full(int(ok.sum()), star)))
-    return out
+def _allowed(n, p, n2, p2, similarity):
+    """Whether the lengths and the places of an equal key leave a link possible."""
+    longer = np.maximum(n, n2)
+    slack = np.floor((1 - similarity) * longer + 1e-9)
+    return (longer - np.minimum(n, n2) <= slack) & (np.abs(p - p2) <= slack)
+
+
+DEALT = "deal bigint, key bigint, d bigint, nid bigint, n int, p int, lead bigint"
+
+
+def _deal_rows(similarity: float, hold: int = HOLD, local: int = LOCAL):
+    """A row for each key of each text. Of `hold` texts at a time, copies (equal d) go, and a key
+    that more than LOCAL of them have is settled here: its first text stands for them as the
+    bucket's row (lead = its own nid), the others are sent past the bucket, with lead = the
+    first one's nid, or -1 if lengths or places rule that pair out."""
+
+    def settle(parts):
+        d, nid, n, sizes, keys, places = (np.concatenate(x) for x in zip(*parts))
+        first = np.unique(d, return_index=True)[1]  # in order of d; rows come in order of nid
+        begin = np.cumsum(sizes) - sizes
+        at = ragged(begin[first], sizes[first])
+        own = np.repeat(first, sizes[first])
+        key, p = keys[at], places[at]
+        turn = np.argsort(key, kind="stable")
+        key, p, own = key[turn], p[turn], own[turn]
+        opens = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(opens, len(key)))
+        lead = np.repeat(opens, size)
+        hot = np.repeat(size > local, size)
+        past = hot & (lead != np.arange(len(key)))
+        fits = _allowed(n[own], p, n[own[lead]], p[lead], similarity)
+        other = np.where(past & ~fits, -1, nid[own[lead]])
+        deal = np.where(past, mix(nid[own].astype(np.uint64)).view(np.int64), key)
+        for i in range(0, len(key), 1 << 16):
+            c = slice(i, i + (1 << 16))
+            o = own[c]
+            yield rows(["deal", "key", "d", "nid", "n", "p", "lead"], deal[c], key[c], d[o], nid[o], n[o], p[c], pa.array(other[c], mask=~hot[c]))
+
+    def run(batches):
+        held, count = [], 0
+        for b in batches:
+            d, nid, n = (b.column(c).to_numpy() for c in ("d", "nid", "n"))
+            keys, off = binary(b.column("keys"))
+            places, _ = binary(b.column("places"))
+            lo = off[0]
+            held.append((d, nid, n, np.diff(off) // 8, np.frombuffer(keys[lo : off[-1]].tobytes(), np.int64), np.frombuffer(places[lo // 2 : off[-1] // 2].tobytes(), np.int32)))
+            count += len(d)
+            if count >= hold:
+                yield from settle(held)
+                held, count = [], 0
+        if held:
+            yield from settle(held)
+
+    return run
 
 
 def _bucket_rows(similarity: float):
-    """Sorted (key, n, nid, p) in; candidate pairs out, and all rows (as a, with b null) of buckets
-    of more than COVERED rows. Only a bucket's first COVERED and last two rows are carried from
-    batch to batch, however large it is."""
-    names = ["a", "b", "star", "key", "n", "p"]
+    """Rows of _deal_rows sorted by (key, d, nid) in; out: candidate pairs (a < b), with the later
+    one in order of d; and as members (b null) the rows of buckets of more than COVERED texts.
+    Of a bucket only its first COVERED rows are carried from batch to batch."""
+    names = ["a", "b", "late", "key", "n", "p"]
+
+    def pairs(a, b):
+        none = (pa.nulls(len(a), kind) for kind in (pa.int64(), pa.int32(), pa.int32()))
+        return rows(names, np.minimum(a, b), np.maximum(a, b), b, *none)
+
+    def members(key, nid, n, p):
+        return rows(names, nid, pa.nulls(len(nid), pa.int64()), pa.nulls(len(nid), pa.int64()), key, n, p)
 
     def run(batches):
-        carry, hidden = None, 0
+        carry, seen, large_before, last = None, 0, False, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(c).to_numpy() for c in ("key", "nid", "n", "p")]
-            skip = 0
-            if carry is not None and carry[0][-1] == cols[0][0]:
+            key, d, nid, n, p = (b.column(c).to_numpy() for c in ("key", "d", "nid", "n", "p"))
+            lead = b.column("lead").fill_null(-2).to_numpy()
+            past = (lead != -2) & (lead != nid)
+            if past.any():
+                met = past & (lead >= 0)
+                yield pairs(lead[met], nid[met])
+                yield members(key[past], nid[past], n[past], p[past])
+                key, d, nid, n, p, lead = (x[~past] for x in (key, d, nid, n, p, lead))
+                if not len(key):
+                    continue
+            skip, hot = 0, lead == nid
+            if carry is not None and carry[0][-1] == key[0]:
                 skip = len(carry[0])
-                cols = [np.concatenate([x, y]) for x, y in zip(carry, cols)]
-            key, nid, n, p = cols
+                key, d, nid, n, p, hot = (np.concatenate([x, y]) for x, y in zip(carry, (key, d, nid, n, p, hot)))
+            else:
+                seen, large_before = 0, False
+            copy = np.append(False, (key[1:] == key[:-1]) & (d[1:] == d[:-1]))
+            copy[skip] = skip > 0 and last == d[skip]
+            last = d[-1]
+            if hot.any():  # the mark of one row, even of a copy, is the bucket's
+                bucket = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+                hot = (np.bincount(bucket, hot) > 0)[bucket]
+            key, d, nid, n, p, hot = (x[~copy] for x in (key, d, nid, n, p, hot))
+            at = np.arange(len(key))
             opens = np.append(True, key[1:] != key[:-1])
-            lead = np.maximum.accumulate(np.where(opens, np.arange(len(key)), 0))
-            fresh = np.arange(len(key)) >= skip
-            rank = np.arange(len(key)) - lead
-            rank[skip:][lead[skip:] == 0] += hidden if skip else 0
-            shared = np.flatnonzero(fresh & (lead < np.arange(len(key))))
-            if len(shared):
-                # rows that have company, with their leads and the two rows before them
-                want = np.unique(np.concatenate([shared, lead[shared], np.maximum(shared - 1, lead[shared]), np.maximum(shared - 2, lead[shared])]))
-                found = _pairs(key[want], nid[want], n[want], p[want], np.searchsorted(want, lead[want]), similarity)
-                a, c, star = (np.concatenate([f[i] for f in found]) for i in range(3))
-                none = (pa.nulls(len(a), kind) for kind in (pa.int64(), pa.int32(), pa.int32()))
-                yield rows(names, np.minimum(a, c), np.maximum(a, c), star, *none)
-            over = lead[fresh & (rank == COVERED)]
-            large = np.concatenate([np.flatnonzero(fresh & (rank >= COVERED)), *(over + i for i in range(COVERED))])
-            if len(large):
-                yield rows(names, nid[large], pa.nulls(len(large), pa.int64()), pa.nulls(len(large), pa.bool_()), key[large], n[large], p[large])
-            first, last = lead[-1], len(key) - 1
-            keep = np.unique([*(min(first + i, last) for i in range(COVERED)), max(first, last - 1), last])
-            hidden = int(rank[-1]) + 1 - len(keep)
-            carry = [x[keep] for x in cols]
+            begin = np.flatnonzero(opens)
+            size = np.diff(np.append(begin, len(key)))
+            first = np.repeat(begin, size)
+            rank = at - first
+            rank[skip : size[0]] += seen - skip if skip else 0
+            fresh = at >= skip
+            for back in (None, 1, 2):  # the first row; the two before, among the first COVERED rows
+                other = first if back is None else at - back
+                ok = fresh & (rank > 0) if back is None else fresh & (rank < COVERED) & (rank > back)
+                i, j = other[ok], at[ok]
+                fits = _allowed(n[i], p[i], n[j], p[j], similarity)
+                if fits.any():
+                    yield pairs(nid[i[fits]], nid[j[fits]])
+            large = np.maximum.reduceat((rank >= COVERED) | hot, begin)
+            large[0] |= large_before
+            send = np.repeat(large, size) & (fresh | np.repeat(np.append(not large_before, np.zeros(len(begin) - 1, bool)), size))
+            if send.any():
+                yield members(key[send], nid[send], n[send], p[send])
+            tail = begin[-1]
+            seen, large_before = int(rank[-1]) + 1, bool(large[-1])
+            carry = [x[tail : tail + COVERED] for x in (key, d, nid, n, p, hot)]
 
     return run
 
@@ -282,17 +364,6 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return banded_distance(a, b, most) <= most
 
 
-def _word_rows(batches):
-    hasher = Hasher()
-    for b in batches:
-        nid = b.column(0)
-        data, offsets = binary(b.column(1))
-        for i, j in blocks(offsets, BLOCK):
-            words, counts = word_hashes(data, offsets[i : j + 1], hasher)
-            ends = np.append(0, np.cumsum(counts)) * 4
-            yield rows(["nid", "words"], nid.slice(i, j - i), pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer((words >> np.uint64(32)).astype(np.uint32))]))
-
-
 def _verify_rows(similarity: float):
     """(a, part, b, words) sorted, the row without b first: its words are compared with the others'."""
 
@@ -315,14 +386,18 @@ def _verify_rows(similarity: float):
 
 
 def _links(pairs: DataFrame, words: DataFrame, scratch: Scratch, name: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar. The pairs of one text are dealt out in parts, each
-    with a copy of its words."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    dealt = scratch.save(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), f"{name}-dealt")
+    """The pairs (a, b) that are similar. The pairs of one text, if there are more than MEMBERS,
+    are dealt out in parts, each with a copy of its words."""
+    pairs = scratch.save(pairs.select("a", "b"), f"{name}-pairs")
+    many = pairs.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > MEMBERS)
+    many = scratch.save(many.select("a", F.ceil(F.col("m") / MEMBERS).cast("int").alias("parts")), f"{name}-many")
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
     other = dealt.join(words, dealt.b == words.nid).select("a", "part", "b", "words")
     own = dealt.select("a", "part").distinct().join(words, F.col("a") == words.nid).select("a", "part", F.lit(None).cast("bigint").alias("b"), "words")
     both = own.unionByName(other).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return scratch.save(both.mapInArrow(_verify_rows(similarity), "a bigint, b bigint"), name)
+    out = scratch.save(both.mapInArrow(_verify_rows(similarity), "a bigint, b bigint"), name)
+    scratch.drop(f"{name}-many")
+    return out
 
 
 def _labelled(df: DataFrame, label: DataFrame, column: str) -> DataFrame:
@@ -336,12 +411,22 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs.select("a", "b"), label, "a"), label, "b").filter("la <> lb").select("a", "b")
 
 
+def _joined(label: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The components of label after more links: those between components are contracted first."""
+    between = _labelled(_labelled(links.select("a", "b"), label, "a"), label, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    up = components(between, scratch, name).select(F.col("node").alias("label"), F.col("label").alias("up"))
+    moved = label.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    new = up.select(F.col("label").alias("node"), F.col("up").alias("label")).join(label, "node", "left_anti")
+    return scratch.save(moved.unionByName(new), f"{name}-all")
+
+
 def _others(large: DataFrame, label: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) of different components of the rows (a, key, n, p) of large buckets,
     as far as lengths and positions allow. A bucket is dealt out to cells of about CELL rows a side."""
-    member = scratch.save(_labelled(large.select("a", "key", "n", "p").distinct(), label, "a"), "members")
+    member = scratch.save(_labelled(large.select("a", "key", "n", "p"), label, "a"), "members")
     mixed = member.groupBy("key").agg(F.count("*").alias("m"), F.min("la").alias("low"), F.max("la").alias("high")).filter("low <> high")
-    dealt = member.join(mixed.select("key", F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "key")
+    mixed = scratch.save(mixed.select("key", F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "mixed")
+    dealt = member.join(mixed, "key")
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("a", F.lit(7)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = dealt.select("key", F.least("salt", "t").alias("i"), F.greatest("salt", "t").alias("j"), "salt", F.col("a").alias("nid"), F.col("la").alias("label"), "n", "p")
@@ -350,11 +435,55 @@ def _others(large: DataFrame, label: DataFrame, scratch: Scratch, similarity: fl
 
 
 def _digest(text):
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _members(docs: DataFrame, scratch: Scratch, k: int, sketches: int, similarity: float) -> DataFrame:
+    """doc_id, digest, label of each row of docs: rows of one class have the same label."""
+    kinds = "row bigint, doc_id bigint, digest binary, n int, words binary, keys binary, places binary"
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), _digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = scratch.save(source.mapInArrow(_text_rows(k, sketches, similarity), kinds), "texts")
+    # copies of a text are one node, the first row's
+    slim = texts.select("row", "doc_id", "digest")
+    first = scratch.save(slim.groupBy("digest").agg(F.min("row").alias("nid"), F.count("*").alias("m")).filter("m > 1").select("digest", "nid"), "copies")
+    slim = scratch.save(slim.join(first, "digest", "left").select("row", "doc_id", "digest", F.coalesce("nid", "row").alias("nid")), "slim")
+
+    keyed = texts.filter("n > 0").select(F.xxhash64("digest").alias("d"), F.col("row").alias("nid"), "n", "keys", "places").mapInArrow(_deal_rows(similarity), DEALT)
+    buckets = keyed.repartition("deal").sortWithinPartitions("key", "d", "nid")
+    met = scratch.save(buckets.mapInArrow(_bucket_rows(similarity), "a bigint, b bigint, late bigint, key bigint, n int, p int"), "met")
+    pairs = scratch.save(met.filter("b is not null").groupBy("a", "b").agg(F.max("late").alias("late"), F.count("*").alias("m")), "pairs")
+    large = met.filter("b is null")
+    nodes = scratch.save(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).union(large.select("a")).distinct(), "nodes")
+    words = scratch.save(texts.select(F.col("row").alias("nid"), "words").join(nodes, "nid", "left_semi"), "words")
+    # a copy that was settled beside its bucket is a node of its own: it is linked unseen
+    same = slim.filter("row <> nid").join(nodes.select(F.col("nid").alias("row")), "row", "left_semi").select(F.col("nid").alias("a"), F.col("row").alias("b"))
+    scratch.drop("texts")
+
+    # each text with the one before it in order of d that it shares most keys with
+    best = pairs.groupBy("late").agg(F.max(F.struct("m", "a", "b")).alias("x")).select("x.a", "x.b")
+    links = _links(best, words, scratch, "best", similarity)
+    label = components(links.unionByName(same), scratch, "label-best")
+    # pairs that these leave apart
+    tried = scratch.load("best-pairs")
+    links = _links(_apart(pairs, label).join(tried, ["a", "b"], "left_anti"), words, scratch, "more", similarity)
+    label = _joined(label, links, scratch, "label-more")
+    # whatever is still apart in a large bucket
+    rest = scratch.save(_others(large, label, scratch, similarity).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    if left := rest.count():
+        if left > MANY_PAIRS:
+            sample = F.pmod(F.xxhash64("a", "b"), F.lit(16)) == 0
+            links = _links(rest.filter(sample), words, scratch, "some", similarity)
+            label = _joined(label, links, scratch, "label-some")
+            rest = _apart(rest.filter(~sample), label)
+        label = _joined(label, _links(rest, words, scratch, "others", similarity), scratch, "label-others")
+    for name in ("met", "pairs", "nodes", "words", "members", "mixed", "rest"):
+        scratch.drop(name)
+    out = slim.join(label, slim.nid == label.node, "left").select("doc_id", "digest", F.coalesce("label", "nid").alias("label"))
+    return scratch.save(out, "out")
 
 
 def classes(docs: DataFrame, k: int = K, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, digest, class_id, class_size of each row of docs (doc_id, text).
+    """doc_id, digest (MD5 of the text), class_id, class_size of each row of docs (doc_id, text).
 
     class_id is the smallest doc_id of the class; class_size counts its rows. A null text is
     empty; texts without words are near-duplicates of exact copies only, texts of fewer
@@ -363,42 +492,26 @@ def classes(docs: DataFrame, k: int = K, sketches: int = SKETCHES, similarity: f
     part; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "omh")
-    node = F.xxhash64(_digest(F.col("text"))).alias("nid")
-    slim = scratch.save(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest(F.col("text")).alias("digest")), "slim").withColumn("nid", F.xxhash64("digest"))
-    source = docs.select(node, F.coalesce("text", F.lit("")).alias("text"))
-    sketched = source.mapInArrow(_sketch_rows(k, sketches, similarity), "key bigint, nid bigint, n int, p int")
-    buckets = sketched.repartition("key").sortWithinPartitions("key", "n", "nid")
-    met = scratch.save(buckets.mapInArrow(_bucket_rows(similarity), "a bigint, b bigint, star boolean, key bigint, n int, p int"), "met")
-    found = scratch.save(met.filter("b is not null").groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
-    nodes = met.select(F.col("a").alias("nid")).union(met.filter("b is not null").select("b")).distinct()
-    words = scratch.save(source.join(nodes, "nid", "left_semi").mapInArrow(_word_rows, "nid bigint, words binary").dropDuplicates(["nid"]), "words")
-    links = _links(found.filter("star").select("a", "b"), words, scratch, "links", similarity)
-    label = components(links, scratch, "first")
-    # neighbours in a bucket that its first text leaves apart
-    links = links.unionByName(_links(_apart(found.filter("not star"), label), words, scratch, "more", similarity))
-    label = components(links, scratch, "second")
-    # whatever is still apart in a bucket that these do not cover
-    rest = scratch.save(_others(met.filter("b is null"), label, scratch, similarity), "rest")
-    if left := rest.count():
-        if left > MANY_PAIRS:
-            sample = F.pmod(F.xxhash64("a", "b"), F.lit(16)) == 0
-            links = links.unionByName(_links(rest.filter(sample), words, scratch, "some", similarity))
-            label = components(links, scratch, "third")
-            rest = _apart(rest.filter(~sample), label)
-        links = links.unionByName(_links(rest, words, scratch, "others", similarity))
-        label = components(links, scratch, "all")
-    member = slim.join(label, slim.nid == label.node, "left").select("doc_id", "digest", F.coalesce("label", "nid").alias("label"))
-    size = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    member = _members(docs, scratch, k, sketches, similarity)
+    size = scratch.save(member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "size")
     return member.join(size, "label").select("doc_id", "digest", "class_id", "class_size")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs with one row of each class: that with the smallest doc_id."""
-    c = classes(docs, **options)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    # a class without any doc_id cannot be told from another by its id: its texts stay, one each
-    group = F.when(F.col("class_id").isNull(), F.col("digest"))
-    kept = c.groupBy("class_id", group.alias("g")).agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m.digest").alias("_digest"))
-    marked = docs.withColumn("_own", _digest(F.col("text")))
-    same = marked.join(kept, F.expr("doc_id <=> _id and _own = _digest"), "left_semi")
-    return same.dropDuplicates(["doc_id", "_own"]).drop("_own")
+def keep_one(docs: DataFrame, k: int = K, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows of docs with one row of each class: that with the smallest doc_id (null comes last),
+    of several texts with it the one of the smallest digest, of repeated rows any one.
+
+    All columns of docs are passed on, whatever their names. Null and empty texts are copies
+    of each other, so one of their rows stays; an empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "omh")
+    member = _members(docs, scratch, k, sketches, similarity)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "m")
+    row = member.groupBy("label", "doc_id", "digest").agg(F.count("*").alias("m"))
+    own, id_, digest, m = free_names(docs.columns, "_own", "_id", "_digest", "_m")
+    kept = row.groupBy("label").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias(id_), F.col("x.digest").alias(digest), F.col("x.m").alias(m))
+    kept = scratch.save(kept, "kept")
+    marked = docs.withColumn(own, _digest(F.col("text")))
+    chosen = lambda which: marked.join(kept.filter(which), F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(digest)), "left_semi")
+    repeated = chosen(F.col(m) > 1).dropDuplicates(["doc_id", own])
+    return chosen(F.col(m) == 1).unionByName(repeated).drop(own)

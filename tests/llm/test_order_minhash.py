@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm.order_minhash import K, SIMILARITY, SKETCHES, _sketch_rows, banded_distance, classes, keep_one
+from quarry.llm.order_minhash import COVERED, K, SIMILARITY, SKETCHES, _bucket_rows, _deal_rows, _text_rows, banded_distance, classes, keep_one
 
 
 def plain_distance(a, b):
@@ -119,11 +119,11 @@ def test_recall_near_the_limit(n, similarity, edits):
         for i in at:
             copy[i] = f"e{t}-{i}"
         texts += [base, copy]
-    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([" ".join(t) for t in texts])], ["nid", "text"])
-    keys = [{} for _ in texts]
-    for out in _sketch_rows(K, SKETCHES, SIMILARITY)([batch]):
-        for key, nid, p in zip(*(out.column(c).to_pylist() for c in ("key", "nid", "p"))):
-            keys[nid][key] = p
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.binary()), pa.array([" ".join(t) for t in texts])], ["row", "doc_id", "digest", "text"])
+    keys = []
+    for out in _text_rows(K, SKETCHES, SIMILARITY)([batch]):
+        for key, place in zip(out.column("keys").to_pylist(), out.column("places").to_pylist()):
+            keys.append(dict(zip(np.frombuffer(key, np.uint64).tolist(), np.frombuffer(place, np.int32).tolist())))
     found = sum(any(abs(p - b[key]) <= most for key, p in a.items() if key in b) for a, b in zip(keys[::2], keys[1::2]))
     assert found >= 95
 
@@ -141,3 +141,42 @@ def test_edge_cases(spark):
 
 def test_empty_table(spark):
     assert keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_buckets_against_brute_force(seed):
+    """Every text of a bucket meets its first one, or one that a task chose beside it; small
+    buckets have all pairs, large ones all texts as members; copies of a text are one."""
+    r = random.Random(seed)
+    texts = [(r.randrange(60), [r.choice([1, 2, 3, r.randrange(40)]) for _ in range(4)]) for _ in range(40)]
+    chosen = [r.randrange(40) for _ in range(150)]  # copies have equal keys
+    rows, batches = [], []
+    for c in range(0, 150, 30):
+        part = chosen[c : c + 30]
+        keys = [sorted(set(texts[t][1])) for t in part]
+        batch = pa.record_batch(
+            [pa.array(part, pa.int64()), pa.array(range(c, c + 30), pa.int64()), pa.array([10] * 30, pa.int32()),
+             pa.array([np.array(k, np.int64).tobytes() for k in keys], pa.binary()), pa.array([np.zeros(len(k), np.int32).tobytes() for k in keys], pa.binary())],
+            ["d", "nid", "n", "keys", "places"],
+        )
+        rows += [x for out in _deal_rows(0.8, hold=25, local=4)([batch]) for x in out.to_pylist()]
+    rows.sort(key=lambda x: (x["key"], x["d"], x["nid"]))
+    size = r.choice([1, 3, 7, 1000])
+    kinds = [("key", pa.int64()), ("d", pa.int64()), ("nid", pa.int64()), ("n", pa.int32()), ("p", pa.int32()), ("lead", pa.int64())]
+    batches = [pa.RecordBatch.from_pylist([{k: x[k] for k, _ in kinds} for x in rows[i : i + size]], pa.schema(kinds)) for i in range(0, len(rows), size)]
+    out = [x for b in _bucket_rows(0.8)(batches) for x in b.to_pylist()]
+    pairs = {(chosen[x["a"]], chosen[x["b"]]) for x in out if x["b"] is not None}
+    pairs |= {(b, a) for a, b in pairs}
+    members = {}
+    for x in out:
+        if x["b"] is None:
+            members.setdefault(x["key"], set()).add(chosen[x["a"]])
+    for key in {k for _, keys in texts for k in keys}:
+        bucket = sorted({t for t in chosen if key in texts[t][1]})
+        if len(bucket) > COVERED:
+            assert members[key] == set(bucket)
+            assert all(any((t, o) in pairs for o in bucket) for t in bucket)
+        else:
+            assert key not in members or members[key] <= set(bucket)
+            linked = {(a, b) for a in bucket for b in bucket if a < b}
+            assert linked <= pairs or members.get(key) == set(bucket)
