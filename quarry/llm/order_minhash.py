@@ -13,9 +13,10 @@ one order that is the same in all buckets. Each text meets the first one of each
 buckets, so that in a group of copies most buckets name the same pairs. It is aligned with
 the one that it shares most keys with, then with the others as far as the links found so
 far leave them apart. In a bucket of more than COVERED texts that are still in several
-components, all other pairs of different components are aligned, in cells of a fixed number
-of rows: so each pair with an equal key that may be a link is aligned or already in one
-class. That last step grows with the square of the number of unlike texts in a bucket.
+components, all other pairs of different components are compared, in cells of a fixed number
+of rows: by the words they have in common, which never rule out a link, and what that leaves
+by alignment. So each pair with an equal key that may be a link is in one class. That last
+step grows with the square of the number of unlike texts in a bucket; only links leave it.
 
 Rows of docs are numbered once, in a written table; copies of a text, found by 128-bit
 digest, are one node. Tasks settle keys that many of their own texts share before the
@@ -40,11 +41,9 @@ SHORT_K, SHORT = 2, 200
 MEMBERS = 1024
 #: All pairs of buckets up to this size are candidates.
 COVERED = 4
-CELL = 512
+CELL = 1024
 #: Texts whose keys a task holds at a time, and how many of them may share a key before it is settled there.
 HOLD, LOCAL = 1 << 13, 64
-#: Above so many pairs left, a sixteenth is aligned first: its links settle most of the others.
-MANY_PAIRS = 1 << 18
 BLOCK = 1 << 20
 TOP = np.iinfo(np.uint64).max
 
@@ -201,14 +200,13 @@ def _bucket_rows(similarity: float):
     """Rows of _deal_rows sorted by (key, d, nid) in; out: candidate pairs (a < b), with the later
     one in order of d; and as members (b null) the rows of buckets of more than COVERED texts.
     Of a bucket only its first COVERED rows are carried from batch to batch."""
-    names = ["a", "b", "late", "key", "n", "p"]
+    names = ["a", "b", "late", "key"]
 
     def pairs(a, b):
-        none = (pa.nulls(len(a), kind) for kind in (pa.int64(), pa.int32(), pa.int32()))
-        return rows(names, np.minimum(a, b), np.maximum(a, b), b, *none)
+        return rows(names, np.minimum(a, b), np.maximum(a, b), b, pa.nulls(len(a), pa.int64()))
 
-    def members(key, nid, n, p):
-        return rows(names, nid, pa.nulls(len(nid), pa.int64()), pa.nulls(len(nid), pa.int64()), key, n, p)
+    def members(key, nid):
+        return rows(names, nid, pa.nulls(len(nid), pa.int64()), pa.nulls(len(nid), pa.int64()), key)
 
     def run(batches):
         carry, seen, large_before, last = None, 0, False, 0
@@ -221,7 +219,7 @@ def _bucket_rows(similarity: float):
             if past.any():
                 met = past & (lead >= 0)
                 yield pairs(lead[met], nid[met])
-                yield members(key[past], nid[past], n[past], p[past])
+                yield members(key[past], nid[past])
                 key, d, nid, n, p, lead = (x[~past] for x in (key, d, nid, n, p, lead))
                 if not len(key):
                     continue
@@ -257,7 +255,7 @@ def _bucket_rows(similarity: float):
             large[0] |= large_before
             send = np.repeat(large, size) & (fresh | np.repeat(np.append(not large_before, np.zeros(len(begin) - 1, bool)), size))
             if send.any():
-                yield members(key[send], nid[send], n[send], p[send])
+                yield members(key[send], nid[send])
             tail = begin[-1]
             seen, large_before = int(rank[-1]) + 1, bool(large[-1])
             carry = [x[tail : tail + COVERED] for x in (key, d, nid, n, p, hot)]
@@ -265,46 +263,6 @@ def _bucket_rows(similarity: float):
     return run
 
 
-def _cell_pairs(left, right, similarity):
-    """Pairs (a, b) of different components whose lengths and positions allow a link, of rows
-    (nid, label, n, p) on the left with rows on the right; all pairs once if right is None."""
-    other = left if right is None else right
-    (nid, label, n, p), (nid2, label2, n2, p2) = ([x[:, None] for x in left], [x[None, :] for x in other])
-    longer = np.maximum(n, n2)
-    slack = np.floor((1 - similarity) * longer + 1e-9)
-    ok = (label != label2) & (longer - np.minimum(n, n2) <= slack) & (np.abs(p - p2) <= slack)
-    i, j = np.nonzero(np.triu(ok, 1) if right is None else ok)
-    a, b = left[0][i], other[0][j]
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _cell_rows(similarity: float):
-    """Rows (key, i, j, salt, nid, label, n, p) sorted by cell (key, i, j) in; pairs out."""
-
-    def settle(cols):
-        i, j, salt = cols[1][0], cols[2][0], cols[3]
-        parts = [[x[salt == s] for x in cols[4:]] for s in ((i,) if i == j else (i, j))]
-        return rows(["a", "b"], *_cell_pairs(parts[0], parts[1] if i != j else None, similarity))
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c).to_numpy() for c in ("key", "i", "j", "salt", "nid", "label", "n", "p")]
-            if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
-            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[:3]], axis=0)) + 1
-            edges = np.concatenate([[0], new])
-            for s, e in zip(edges[:-1], edges[1:]):
-                yield settle([x[s:e] for x in cols])
-            held = [x[edges[-1] :] for x in cols]
-        if held is not None:
-            yield settle(held)
-
-    return run
-
-
 def _unequal_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both sequences without what they begin and end with alike."""
     n = min(len(a), len(b))
@@ -364,6 +322,102 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return banded_distance(a, b, most) <= most
 
 
+def common_words(texts: list[np.ndarray], dense: int = 32) -> np.ndarray:
+    """How many words each two texts have in common, repeats counted: words of more than `dense`
+    texts by a matrix product, the others by their pairs."""
+    m = len(texts)
+    size = np.array([len(t) for t in texts])
+    word, text = np.concatenate([*texts, np.zeros(0, np.uint32)]).astype(np.uint64), np.repeat(np.arange(m), size)
+    turn = np.lexsort((word, text))
+    word, text = word[turn], text[turn]
+    at = np.arange(len(word))
+    opens = np.append(True, (word[1:] != word[:-1]) | (text[1:] != text[:-1]))[: len(word)]
+    word |= (at - np.maximum.accumulate(np.where(opens, at, 0))).astype(np.uint64) << np.uint64(32)  # the nth of its text
+    _, word = np.unique(word, return_inverse=True)
+    turn = np.argsort(word, kind="stable")
+    word, text = word[turn], text[turn]
+    held = np.bincount(word)
+    often = held > dense
+    table = np.zeros((m, int(often.sum())), np.float32)
+    column = np.cumsum(often) - 1
+    some = often[word]
+    table[text[some], column[word[some]]] = 1
+    out = (table @ table.T).astype(np.int32).ravel()
+    text, word = text[~some], word[~some]
+    last = np.cumsum(held * ~often)[word]
+    for back in range(1, dense):  # pairs of the rows of one word, by their distance
+        first = np.flatnonzero(np.arange(len(text)) + back < last)
+        if not len(first):
+            break
+        out += np.bincount(text[first] * m + text[first + back], minlength=m * m).astype(np.int32)
+    return out.reshape(m, m)
+
+
+def _cell_links(left, right, similarity):
+    """Links (a, b) that join different components, of rows (nid, label, n, words) on the left with
+    rows on the right, or of all pairs if right is None. Only pairs with enough words in common
+    are aligned, and only while no link found here has joined them."""
+    nid, label, n, words = left if right is None else [np.concatenate(x) for x in zip(left, right)]
+    top = len(left[0])
+    if len(np.unique(label)) < 2:
+        return nid[:0], nid[:0]
+    longer = np.maximum(n[:top, None], n[None, :])
+    most = np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
+    ok = (label[:top, None] != label[None, :]) & (longer - np.minimum(n[:top, None], n[None, :]) <= most)
+    ok &= np.arange(len(n))[None, :] > (np.arange(top)[:, None] if right is None else top - 1)
+    if ok.any():
+        ok &= common_words(list(words))[:top] >= longer - most
+    parent = {x: x for x in label.tolist()}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(ok)):
+        x, y = root(int(label[i])), root(int(label[j]))
+        if x != y and banded_distance(words[i], words[j], int(most[i, j])) <= most[i, j]:
+            parent[max(x, y)] = min(x, y)
+            found.append((nid[i], nid[j]))
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _cell_rows(similarity: float):
+    """Rows (lead, i, j, salt, nid, label, words) sorted by cell (lead, i, j) in; links out."""
+
+    def settle(held):
+        lead, i, j, salt, nid, label = (np.concatenate([h[c] for h in held]) for c in range(6))
+        words = np.empty(len(nid), object)
+        words[:] = [w for h in held for w in h[6]]
+        n = np.array([len(w) for w in words])
+        parts = [[x[salt == s] for x in (nid, label, n, words)] for s in ((i[0],) if i[0] == j[0] else (i[0], j[0]))]
+        return rows(["a", "b"], *_cell_links(parts[0], parts[1] if len(parts) > 1 else None, similarity))
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in ("lead", "i", "j", "salt", "nid", "label")]
+            cols.append([np.frombuffer(w, np.uint32) for w in batch.column("words").to_pylist()])
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[:3]], axis=0)) + 1
+            if held and any(h[-1] != x[0] for h, x in zip(held[-1][:3], cols[:3])):
+                yield settle(held)
+                held = []
+            edges = np.concatenate([[0], new])
+            for s, e in zip(edges, np.append(new, len(cols[0]))):
+                if s:
+                    yield settle(held)
+                    held = []
+                held.append([x[s:e] for x in cols])
+        if held:
+            yield settle(held)
+
+    return run
+
+
 def _verify_rows(similarity: float):
     """(a, part, b, words) sorted, the row without b first: its words are compared with the others'."""
 
@@ -420,18 +474,21 @@ def _joined(label: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
     return scratch.save(moved.unionByName(new), f"{name}-all")
 
 
-def _others(large: DataFrame, label: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of different components of the rows (a, key, n, p) of large buckets,
-    as far as lengths and positions allow. A bucket is dealt out to cells of about CELL rows a side."""
-    member = scratch.save(_labelled(large.select("a", "key", "n", "p"), label, "a"), "members")
-    mixed = member.groupBy("key").agg(F.count("*").alias("m"), F.min("la").alias("low"), F.max("la").alias("high")).filter("low <> high")
-    mixed = scratch.save(mixed.select("key", F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "mixed")
-    dealt = member.join(mixed, "key")
+def _others(large: DataFrame, label: DataFrame, words: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Links (a, b) between the components of the rows (a, key) of large buckets. Buckets with the
+    same smallest row are united, as copies and shared passages fill many buckets alike, and
+    dealt out to cells of about CELL rows a side."""
+    member = scratch.save(_labelled(large.select("a", "key"), label, "a"), "members")
+    mixed = member.groupBy("key").agg(F.min("a").alias("lead"), F.min("la").alias("low"), F.max("la").alias("high")).filter("low <> high")
+    mixed = scratch.save(mixed.select("key", "lead"), "mixed")
+    united = scratch.save(member.join(mixed, "key").select("lead", "a", "la").distinct(), "united")
+    parts = scratch.save(united.groupBy("lead").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "parts")
+    dealt = united.join(parts, "lead").join(words, F.col("a") == words.nid)
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("a", F.lit(7)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = dealt.select("key", F.least("salt", "t").alias("i"), F.greatest("salt", "t").alias("j"), "salt", F.col("a").alias("nid"), F.col("la").alias("label"), "n", "p")
-    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cells.mapInArrow(_cell_rows(similarity), "a bigint, b bigint").distinct()
+    cells = dealt.select("lead", F.least("salt", "t").alias("i"), F.greatest("salt", "t").alias("j"), "salt", "nid", F.col("la").alias("label"), "words")
+    cells = cells.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    return cells.mapInArrow(_cell_rows(similarity), "a bigint, b bigint")
 
 
 def _digest(text):
@@ -450,7 +507,7 @@ def _members(docs: DataFrame, scratch: Scratch, k: int, sketches: int, similarit
 
     keyed = texts.filter("n > 0").select(F.xxhash64("digest").alias("d"), F.col("row").alias("nid"), "n", "keys", "places").mapInArrow(_deal_rows(similarity), DEALT)
     buckets = keyed.repartition("deal").sortWithinPartitions("key", "d", "nid")
-    met = scratch.save(buckets.mapInArrow(_bucket_rows(similarity), "a bigint, b bigint, late bigint, key bigint, n int, p int"), "met")
+    met = scratch.save(buckets.mapInArrow(_bucket_rows(similarity), "a bigint, b bigint, late bigint, key bigint"), "met")
     pairs = scratch.save(met.filter("b is not null").groupBy("a", "b").agg(F.max("late").alias("late"), F.count("*").alias("m")), "pairs")
     large = met.filter("b is null")
     nodes = scratch.save(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).union(large.select("a")).distinct(), "nodes")
@@ -468,15 +525,9 @@ def _members(docs: DataFrame, scratch: Scratch, k: int, sketches: int, similarit
     links = _links(_apart(pairs, label).join(tried, ["a", "b"], "left_anti"), words, scratch, "more", similarity)
     label = _joined(label, links, scratch, "label-more")
     # whatever is still apart in a large bucket
-    rest = scratch.save(_others(large, label, scratch, similarity).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    if left := rest.count():
-        if left > MANY_PAIRS:
-            sample = F.pmod(F.xxhash64("a", "b"), F.lit(16)) == 0
-            links = _links(rest.filter(sample), words, scratch, "some", similarity)
-            label = _joined(label, links, scratch, "label-some")
-            rest = _apart(rest.filter(~sample), label)
-        label = _joined(label, _links(rest, words, scratch, "others", similarity), scratch, "label-others")
-    for name in ("met", "pairs", "nodes", "words", "members", "mixed", "rest"):
+    links = scratch.save(_others(large, label, words, scratch, similarity), "others")
+    label = _joined(label, links, scratch, "label-others")
+    for name in ("met", "pairs", "nodes", "words", "members", "mixed", "united", "parts", "best-pairs", "more-pairs"):
         scratch.drop(name)
     out = slim.join(label, slim.nid == label.node, "left").select("doc_id", "digest", F.coalesce("label", "nid").alias("label"))
     return scratch.save(out, "out")

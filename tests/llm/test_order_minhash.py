@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm.order_minhash import COVERED, K, SIMILARITY, SKETCHES, _bucket_rows, _deal_rows, _text_rows, banded_distance, classes, keep_one
+from quarry.llm.order_minhash import COVERED, K, SIMILARITY, SKETCHES, _bucket_rows, _deal_rows, _text_rows, banded_distance, classes, common_words, keep_one
 
 
 def plain_distance(a, b):
@@ -25,6 +25,17 @@ def test_banded_distance(a, b, most):
     assert banded_distance(np.array(a, np.uint32), np.array(b, np.uint32), most) == min(want, most + 1)
 
 
+@pytest.mark.parametrize("dense", [1, 3, 100])
+def test_common_words(dense):
+    r = np.random.default_rng(dense)
+    texts = [r.integers(0, r.integers(2, 60), r.integers(0, 40)).astype(np.uint32) for _ in range(30)]
+    got = common_words(texts, dense)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            if i < j:
+                assert got[i, j] == sum(min((a == w).sum(), (b == w).sum()) for w in np.unique(a))
+
+
 def edited(r, words, share):
     out = list(words)
     for _ in range(int(share * len(words))):
@@ -96,7 +107,6 @@ def test_pairs_far_apart_in_a_bucket(spark):
 
 def test_large_group_of_edited_copies(spark, monkeypatch):
     monkeypatch.setattr("quarry.llm.order_minhash.CELL", 16)
-    monkeypatch.setattr("quarry.llm.order_minhash.MANY_PAIRS", 16)
     r = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     texts = [edited(r, base, 0.2 * r.random()) for _ in range(80)]
