@@ -7,17 +7,22 @@ Only suffixes around anchors that occur twice are sorted:
 
 1. anchors of every document (about 2 of each length - k + 2 positions), counted;
 2. the bytes around repeated anchors, gathered by anchor;
-3. per anchor: suffix order to the right with LCPs, the order of the reversed left side
-   with LCPs, and from both the suffix order of the windows that begin o bytes before
-   the anchor, for every o. A run of that order with LCP >= length holds equal windows.
-   A suffix has LPF >= length exactly if a previous or next smaller position lies in its
-   run, that is if it is not the run's first position in the text.
+3. per anchor and per number o of bytes before it: the suffix order of the windows that
+   begin there, from one order of the bytes to the right and one of those to the left, its
+   LCPs, and the longest-previous-factor array by previous and next smaller text positions.
+   A window is a later copy if its LPF reaches `length`; with text positions negated the
+   same array tells which windows have a later copy;
 4. intervals joined back to their document.
 
-An anchor of more than `group_rows` places is split at random. Each part settles its own
-matches and sends on one window for each of its runs; these meet by their hash.
-Text order is (doc_id with null last, position). Copies of a whole text are settled by
-their digest: one of them stands for all in the steps above.
+An anchor of more than `group_rows` places is taken apart first. Each place is compared
+byte by byte with the first one in the text: windows equal to one of it are settled so.
+Every other window holds the first unequal byte to the right or to the left of the anchor,
+and so do its equals, at the same distance: places go on in groups by that distance and
+byte, with the windows concerned, until the groups are small.
+
+Rows of docs are numbered once, in a written table. Text order is (doc_id with null last,
+row, position). Copies of a whole text are settled by their digest: one of them stands for
+all in the steps above.
 """
 
 from __future__ import annotations
@@ -27,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary, blocks, mix, ragged, rows, slices
+from .common import Scratch, binary, blocks, free_names, mix, ragged, rows, slices
 
 K = 64
-GROUP_ROWS = 1024
+#: Places of an anchor that one task sorts; more are taken apart first.
+GROUP_ROWS = 8192
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = np.uint64(pow(int(BASE), -1, 2**64))
 _BLANK = np.zeros(256, bool)
@@ -162,6 +168,9 @@ def _anchor_rows(length: int, k: int, first_stays: bool):
     return run
 
 
+CONTEXT = "h bigint, rid bigint, key bigint, pos bigint, left int, ctx binary"
+
+
 def _context_rows(length: int):
     """The bytes around each listed anchor of a document that its own windows cover."""
 
@@ -171,9 +180,9 @@ def _context_rows(length: int):
             data, offsets = binary(b.column(2))
             lists = b.column(3)
             off = lists.offsets.to_numpy()
-            pos, h, part, far, close = (lists.values.field(c).to_numpy() for c in ("pos", "h", "parts", "far", "close"))
+            pos, h, far, close = (lists.values.field(c).to_numpy() for c in ("pos", "h", "far", "close"))
             row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            pos, h, part, far, close = (x[off[0] : off[-1]] for x in (pos, h, part, far, close))
+            pos, h, far, close = (x[off[0] : off[-1]] for x in (pos, h, far, close))
             for a in range(0, len(row), 2048):
                 r, p = row[a : a + 2048], pos[a : a + 2048]
                 at = offsets[r] + p
@@ -181,15 +190,100 @@ def _context_rows(length: int):
                 size = left + length - close[a : a + 2048]
                 ctx = data[ragged(at - left, size)]
                 ends = np.cumsum(size)
-                salt = (mix(rid[r].astype(np.uint64) ^ mix(p.astype(np.uint64))) % part[a : a + 2048].astype(np.uint64)).astype(np.int32)
-                yield rows(
-                    ["h", "salt", "split", "rid", "key", "pos", "left", "ctx"],
-                    h[a : a + 2048], salt, part[a : a + 2048] > 1, rid[r], key.take(pa.array(r)), p, left.astype(np.int32), slices(ctx, ends - size, int(ends[-1])),
-                )
+                yield rows(["h", "rid", "key", "pos", "left", "ctx"], h[a : a + 2048], rid[r], key.take(pa.array(r)), p, left.astype(np.int32), slices(ctx, ends - size, int(ends[-1])))
+
+    return run
+
+
+def _agree(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    differ = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    return int(differ.argmax())
+
+
+def _split_rows(length: int, first_stays: bool):
+    """Places of groups, each beside the group's first place, in; intervals (start, stop) and
+    places of smaller groups (ctx) out."""
+
+    def child(h, side, at, byte):
+        x = np.array([np.uint64(h & 0xFFFFFFFFFFFFFFFF) ^ np.uint64((side << 40) | (at << 8) | byte)], np.uint64)
+        return int((mix(x) * np.uint64(0x9FB21C651E98DF25)).view(np.int64)[0])
+
+    def run(batches):
+        for b in batches:
+            out = {c: [] for c in ("h", "rid", "key", "pos", "left", "ctx", "start", "stop")}
+
+            def put(**values):
+                for c, column in out.items():
+                    column.append(values.get(c))
+
+            for r in b.to_pylist():
+                left, ctx, left0, ctx0 = r["left"], r["ctx"], r["left0"], r["ctx0"]
+                before, after = ctx[:left][::-1], ctx[left:]
+                low, high = length - len(after), left  # offsets of the place's own windows
+                if (r["rid"], r["pos"]) == (r["rid0"], r["pos0"]):
+                    continue
+                same_l, same_r = _agree(before, ctx0[:left0][::-1]), _agree(after, ctx0[left0:])
+                a, z = max(low, length - same_r), min(high, same_l)
+                if a <= z:
+                    put(rid=r["rid"], start=r["pos"] - z, stop=r["pos"] - a + length)
+                    if not first_stays:
+                        put(rid=r["rid0"], start=r["pos0"] - z, stop=r["pos0"] - a + length)
+                place = {c: r[c] for c in ("rid", "key", "pos")}
+                a, z = low, min(high, length - same_r - 1)
+                if a <= z:
+                    put(**place, h=child(r["h"], 1, same_r, after[same_r]), left=z, ctx=ctx[left - z : left + length - a])
+                a, z = max(low, length - same_r, same_l + 1), high
+                if a <= z:
+                    put(**place, h=child(r["h"], 2, same_l, before[same_l]), left=z, ctx=ctx[left - z : left + length - a])
+            kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()] + [pa.int64()] * 2
+            yield rows(list(out), *(pa.array(c, k) for c, k in zip(out.values(), kinds)))
 
     return run
 
 
+def longest_previous(rank: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Longest-previous-factor array in suffix order, from the text position of each suffix and
+    its LCP with its predecessor (the first one's counts as 0).
+
+    A suffix agrees longest with an earlier one at its previous or at its next smaller
+    position. Both are found for all suffixes at once, by jumps over larger positions."""
+    n = len(rank)
+    best = np.zeros(n, np.int64)
+    for back in (False, True):
+        at = rank[::-1] if back else rank
+        low = np.append(0, lcp[:0:-1] if back else lcp[1:]).astype(np.int64)[:n]
+        smaller = np.arange(n) - 1
+        while len(go := np.flatnonzero((low > 0) & (at[smaller] >= at))):  # low is 0 where there is none
+            over = smaller[go]
+            low[go] = np.minimum(low[go], low[over])
+            smaller[go] = smaller[over]
+        best = np.maximum(best, low[::-1] if back else low)
+    return best
+
+
+class RangeMin:
+    """Minima of ranges of an array, from those of its stretches of 1, 2, 4, ..."""
+
+    def __init__(self, x: np.ndarray):
+        self.levels = [x]
+        while len(self.levels[-1]) > 1 << (len(self.levels) - 1):
+            y, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(y[:-half], y[half:]))
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Least of x[first..last], both included."""
+        out = np.empty(len(first), self.levels[0].dtype)
+        level = np.frexp(last - first + 1)[1] - 1
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.levels[k][first[at]], self.levels[k][last[at] - (1 << k) + 1])
+        return out
+
+
 def _boundaries(order: np.ndarray, group: np.ndarray, side: np.ndarray) -> np.ndarray:
     """LCP of each member with its predecessor in an order; -1 where a group begins."""
     if not len(order):
@@ -200,13 +294,11 @@ def _boundaries(order: np.ndarray, group: np.ndarray, side: np.ndarray) -> np.nd
     return np.append(np.int32(-1), lcp)
 
 
-def equal_windows(group, left, left_size, right, right_size, rank, split, length: int, first_stays: bool):
-    """For members of anchor groups (arrays in text order): flags[member, o] says whether the
-    window that begins o bytes before the anchor is removed. Also (members, offsets) of the
-    first member of every run of suffix order, for the groups that were split."""
+def equal_windows(group, left, left_size, right, right_size, rank, length: int, first_stays: bool):
+    """For members of anchor groups: flags[member, o] says whether the window that begins o bytes
+    before the anchor is removed. rank is the members' order in the text."""
     n, w = left.shape
     flags = np.zeros((n, w + 1), bool)
-    heads, offsets = [], []
 
     def order(side):
         text = np.ascontiguousarray(side).view(f"S{side.shape[1]}").ravel()
@@ -215,32 +307,36 @@ def equal_windows(group, left, left_size, right, right_size, rank, split, length
 
     by_right, by_left = order(right), order(left)
     lcp_right, lcp_left = _boundaries(by_right, group, right), _boundaries(by_left, group, left)
-    class_r, class_l = np.empty(n, np.int64), np.empty(n, np.int64)
-    alive = np.arange(n)
+    least = RangeMin(lcp_right)
+    place, class_l = np.empty(n, np.int64), np.empty(n, np.int64)
+    place[by_right] = np.arange(n)
+    alive = by_right  # in order of the bytes to the right
     for o in range(w + 1):
         class_l[by_left] = np.cumsum(lcp_left < o)
         if o % 8 == 0:  # alone on the left side: no match at this or a larger offset
-            alive = alive[(np.bincount(class_l[alive], minlength=1)[class_l[alive]] > 1) | split[alive]]
+            alive = alive[np.bincount(class_l[alive], minlength=1)[class_l[alive]] > 1]
         if not len(alive):
             break
-        class_r[by_right] = np.cumsum(lcp_right < length - o)
         live = alive[(left_size[alive] >= o) & (right_size[alive] >= length - o)]
+        if len(live) < 2:
+            continue
+        # suffixes from o bytes before the anchor: by these bytes, then by those from the anchor on
+        live = live[np.argsort(class_l[live], kind="stable")]
+        same = np.flatnonzero(class_l[live[1:]] == class_l[live[:-1]]) + 1
+        lcp = np.zeros(len(live), np.int64)
+        lcp[same] = o + least(place[live[same - 1]] + 1, place[live[same]])
+        lcp[lcp < length] = 0  # LPF counts from `length` on
+        some = lcp > 0
+        some[:-1] |= lcp[1:] > 0
+        live, lcp = live[some], lcp[some]
         if not len(live):
             continue
-        key = class_r[live] * (n + 1) + class_l[live]
-        turn = np.argsort(key, kind="stable")  # members are in text order: a run's first one comes first
-        live, key = live[turn], key[turn]
-        opens = np.append(True, key[1:] != key[:-1])
-        if first_stays:
-            flags[live, o] = rank[live] > rank[live[opens]][np.cumsum(opens) - 1]
-        else:
-            flags[live, o] = ~opens | np.append(~opens[1:], False)
-        first = live[opens]
-        if (first := first[split[first]]).size:
-            heads.append(first)
-            offsets.append(np.full(len(first), o))
-    empty = np.zeros(0, np.int64)
-    return flags, np.concatenate(heads) if heads else empty, np.concatenate(offsets) if offsets else empty
+        at = rank[live]
+        longest = longest_previous(at, lcp)
+        if not first_stays:
+            longest = np.maximum(longest, longest_previous(-at, lcp))
+        flags[live, o] = longest >= length
+    return flags
 
 
 def _spans(flags: np.ndarray):
@@ -251,12 +347,8 @@ def _spans(flags: np.ndarray):
     return row, first, after - 1
 
 
-OUT = ["h", "o", "hash", "key", "rid", "start", "stop"]
-OUT_SCHEMA = "h bigint, o int, hash bigint, key bigint, rid bigint, start bigint, stop bigint"
-
-
-def _group_rows(length: int, k: int, first_stays: bool, most: int = 16384):
-    """Contexts, sorted by anchor, in; intervals (hash null) and, of split groups, heads out."""
+def _group_rows(length: int, k: int, first_stays: bool, most: int = 8192):
+    """Contexts, sorted by group, in; intervals out."""
     w = length - k
 
     def settle(t: pa.Table):
@@ -264,37 +356,22 @@ def _group_rows(length: int, k: int, first_stays: bool, most: int = 16384):
         n = t.num_rows
         h, rid, pos = (t.column(c).to_numpy() for c in ("h", "rid", "pos"))
         key = t.column("key")
-        has = key.is_valid().to_numpy()
-        key = key.fill_null(0).to_numpy()
-        turn = np.lexsort((pos, rid, key, ~has))
-        _, group = np.unique(h ^ (t.column("salt").to_numpy().astype(np.int64) << 48), return_inverse=True)
-        ties = np.append(False, (np.diff(pos[turn]) == 0) & (np.diff(rid[turn]) == 0) & (np.diff(key[turn]) == 0) & (has[turn][1:] == has[turn][:-1]))
-        rank = np.cumsum(~ties)
+        turn = np.lexsort((pos, rid, key.fill_null(0).to_numpy(), ~key.is_valid().to_numpy()))
+        _, group = np.unique(h, return_inverse=True)
+        # a place that two groups with one hash hold is no copy of itself
+        rank = np.cumsum(np.append(False, (np.diff(pos[turn]) != 0) | (np.diff(rid[turn]) != 0)))
         data, offsets = binary(t.column("ctx"))
         offsets, size = offsets[:-1][turn], np.diff(offsets)[turn]
         left_size = t.column("left").to_numpy().astype(np.int64)[turn]
         right_size = size - left_size
-        split = t.column("split").to_numpy(zero_copy_only=False)[turn]
-        h, rid, pos, key, has, group = (x[turn] for x in (h, rid, pos, key, has, group))
+        rid, pos, group = (x[turn] for x in (rid, pos, group))
         left, right = np.zeros((n, w), np.uint8), np.zeros((n, length), np.uint8)
         for i in range(n):
             at = offsets[i] + left_size[i]
             left[i, : left_size[i]] = data[offsets[i] : at][::-1]
             right[i, : right_size[i]] = data[at : offsets[i] + size[i]]
-        flags, member, o = equal_windows(group, left, left_size, right, right_size, rank, split, length, first_stays)
-        row, first, last = _spans(flags)
-        nulls = lambda kind, m=len(row): pa.nulls(m, kind)
-        yield rows(OUT, nulls(pa.int64()), nulls(pa.int32()), nulls(pa.int64()), nulls(pa.int64()), rid[row], pos[row] - last, pos[row] - first + length)
-        hasher = Hasher()
-        for a in range(0, len(member), 1 << 16):
-            m, off = member[a : a + (1 << 16)], o[a : a + (1 << 16)]
-            _, where = np.unique(m, return_inverse=True)
-            used = np.unique(m)
-            flat = data[ragged(offsets[used], size[used])]
-            begin = np.cumsum(size[used]) - size[used]
-            wh = hasher.at(hasher.prefix(flat), begin[where] + left_size[m] - off, length).view(np.int64)
-            start = pos[m] - off
-            yield rows(OUT, h[m], off.astype(np.int32), wh, pa.array(key[m], mask=~has[m]), rid[m], start, start + length)
+        row, first, last = _spans(equal_windows(group, left, left_size, right, right_size, rank, length, first_stays))
+        return rows(["rid", "start", "stop"], rid[row], pos[row] - last, pos[row] - first + length)
 
     def run(batches):
         held, count, last = [], 0, None
@@ -303,58 +380,82 @@ def _group_rows(length: int, k: int, first_stays: bool, most: int = 16384):
             if not t.num_rows:
                 continue
             if count >= most:  # close at the end of a group
-                h, salt = t.column("h").to_numpy(), t.column("salt").to_numpy()
-                other = np.flatnonzero((h != last[0]) | (salt != last[1]))
+                other = np.flatnonzero(t.column("h").to_numpy() != last)
                 cut = int(other[0]) if len(other) else t.num_rows
                 held.append(t.slice(0, cut))
                 t = t.slice(cut)
                 if t.num_rows:
-                    yield from settle(pa.concat_tables(held))
+                    yield settle(pa.concat_tables(held))
                     held, count = [], 0
             if t.num_rows:
                 held.append(t)
                 count += t.num_rows
-                last = (t.column("h")[-1].as_py(), t.column("salt")[-1].as_py())
+                last = t.column("h")[-1].as_py()
         if held:
-            yield from settle(pa.concat_tables(held))
+            yield settle(pa.concat_tables(held))
 
     return run
 
 
+def _taken_apart(places: DataFrame, scratch: Scratch, length: int, first_stays: bool, group_rows: int):
+    """(places of groups of at most group_rows, [intervals]) of the places of larger groups."""
+    order = F.struct(F.col("key").isNull(), "key", "rid", "pos", "left", "ctx")
+    small, found, turn = [], [], 0
+    while places.limit(1).count():
+        first = places.groupBy("h").agg(F.min(order).alias("x")).select("h", F.col("x.rid").alias("rid0"), F.col("x.pos").alias("pos0"), F.col("x.left").alias("left0"), F.col("x.ctx").alias("ctx0"))
+        first = scratch.save(first, f"first-{turn}")
+        beside = places.join(first, "h").select("h", "rid", "key", "pos", "left", "ctx", "rid0", "pos0", "left0", "ctx0")
+        split = scratch.save(beside.mapInArrow(_split_rows(length, first_stays), f"{CONTEXT}, start bigint, stop bigint"), f"split-{turn}")
+        found.append(split.filter("ctx is null").select("rid", "start", "stop").distinct())
+        rest = split.filter("ctx is not null").drop("start", "stop")
+        size = scratch.save(rest.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), f"size-{turn}")
+        rest = rest.join(size, "h")
+        small.append(rest.filter(F.col("m") <= group_rows).drop("m"))
+        scratch.drop(f"large-{turn}")
+        turn += 1
+        places = scratch.save(rest.filter(F.col("m") > group_rows).drop("m"), f"large-{turn}")
+    return small, found
+
+
 def repeated_intervals(docs: DataFrame, scratch: Scratch, length: int = 400, keep: str = "first", k: int = K, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """rid, start, stop: the parts of the texts of docs (rid, key, text) that go. They may overlap."""
+    """rid, start, stop: the parts of the texts of docs (rid, key, text) that go. They may overlap.
+    rid is unique, and docs a written table."""
     if not 1 <= k < length or keep not in ("first", "none"):
         raise ValueError("k must be below length; keep is 'first' or 'none'")
     first_stays = keep == "first"
-    docs = docs.withColumn("digest", F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))).filter(F.octet_length("text") >= length)
+    docs = docs.filter(F.octet_length("text") >= length)
     # copies of whole texts: the first in text order stands for all
-    slim = scratch.save(docs.select("rid", "key", "digest", F.octet_length("text").cast("bigint").alias("size")), "slim")
+    slim = scratch.save(docs.select("rid", "key", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.octet_length("text").cast("bigint").alias("size")), "slim")
     order = F.struct(F.col("key").isNull(), "key", "rid")
     lead = slim.groupBy("digest").agg(F.min(order).alias("lead"), F.count("*").alias("copies")).filter("copies > 1").select("digest", F.col("lead.rid").alias("lead_rid"))
-    copied = slim.join(lead, "digest")
-    others = copied.filter("rid <> lead_rid").select("rid").distinct()
+    copied = scratch.save(slim.join(scratch.save(lead, "lead"), "digest").select("rid", "lead_rid", "size"), "copied")
+    others = copied.filter("rid <> lead_rid").select("rid")
     whole = copied.filter("rid <> lead_rid") if first_stays else copied
     whole = whole.select("rid", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("stop"))
 
     found = scratch.save(docs.select("rid", "text").mapInArrow(_anchor_rows(length, k, first_stays), "rid bigint, pos bigint, h bigint, far int, close int, stop bigint"), "anchors")
     marks = found.filter("h is not null").join(others, "rid", "left_anti")
-    counts = marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / group_rows).cast("int").alias("parts")
-    lists = marks.join(counts.select("h", parts), "h").groupBy("rid").agg(F.collect_set(F.struct("pos", "h", "parts", "far", "close")).alias("marks"))
+    counts = scratch.save(marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    lists = marks.join(counts.select("h"), "h", "left_semi").groupBy("rid").agg(F.collect_set(F.struct("pos", "h", "far", "close")).alias("marks"))
     lists = scratch.save(lists, "lists")
-    around = docs.join(others, "rid", "left_anti").join(lists, "rid").select("rid", "key", "text", "marks")
-    around = around.mapInArrow(_context_rows(length), "h bigint, salt int, split boolean, rid bigint, key bigint, pos bigint, left int, ctx binary")
-    grouped = around.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    settled = scratch.save(grouped.mapInArrow(_group_rows(length, k, first_stays), OUT_SCHEMA), "settled")
-    heads = settled.filter("hash is not null")
-    place = F.struct(F.col("key").isNull(), "key", "rid", "start")
-    met = heads.groupBy("h", "o", "hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    across = heads.join(met, ["h", "o", "hash"])
-    if first_stays:
-        across = across.filter(place > F.col("first"))
-    part = lambda df: df.select("rid", "start", "stop")
-    local = found.filter("h is null").select("rid", F.col("pos").alias("start"), "stop")
-    return part(whole).unionByName(part(local)).unionByName(part(settled.filter("hash is null"))).unionByName(part(across))
+    local = scratch.save(found.filter("h is null").select("rid", F.col("pos").alias("start"), "stop"), "local")
+    scratch.drop("anchors")
+    around = docs.join(lists, "rid").select("rid", "key", "text", "marks").mapInArrow(_context_rows(length), CONTEXT)
+    many = counts.filter(F.col("n") > group_rows).select("h", F.lit(True).alias("many"))
+    places, cut = around, []
+    if many.limit(1).count():
+        around = scratch.save(around.join(many, "h", "left"), "around")
+        small, cut = _taken_apart(around.filter("many").drop("many"), scratch, length, first_stays, group_rows)
+        places = around.filter("many is null").drop("many")
+        for part in small:
+            places = places.unionByName(part)
+    grouped = places.repartition("h").sortWithinPartitions("h")
+    settled = scratch.save(grouped.mapInArrow(_group_rows(length, k, first_stays), INTERVAL), "settled")
+    scratch.drop("around")
+    scratch.drop("lists")
+    for part in (whole, local, *cut):
+        settled = settled.unionByName(part)
+    return settled
 
 
 def merge(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -370,48 +471,57 @@ def merge(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _cut(batches):
-    """Kept bytes and removed runs of each text."""
+    """Kept bytes and removed runs of each text; text and spans are the last columns."""
     for b in batches:
-        data, offsets = binary(b.column("text"))
-        lists = b.column("spans")
+        m = b.num_columns - 2
+        data, offsets = binary(b.column(m))
+        lists = b.column(m + 1)
         off = lists.offsets.to_numpy()
         starts, stops = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
         kept, spans = [], []
+        has = lists.is_valid().to_numpy(zero_copy_only=False)
         for i in range(b.num_rows):
             text = data[offsets[i] : offsets[i + 1]].tobytes()
-            runs = merge(starts[off[i] : off[i + 1]], stops[off[i] : off[i + 1]]) if lists.is_valid()[i].as_py() else []
+            runs = merge(starts[off[i] : off[i + 1]], stops[off[i] : off[i + 1]]) if has[i] else []
             edges = [0, *(x for r in runs for x in r), len(text)]
             kept.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2])) if runs else text)
             spans.append([{"start": s, "stop": e} for s, e in runs])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        rest = [b.column(c) for c in b.schema.names if c not in ("text", "spans")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.binary()), pa.array(spans, kind)], [c for c in b.schema.names if c not in ("text", "spans")] + ["kept", "removed"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:m], pa.array(kept, pa.binary()), pa.array(spans, kind)], [*b.schema.names[:m], "kept", "removed"])
+
+
+def _spans_by_row(cuts: DataFrame, scratch: Scratch, rid: str) -> DataFrame:
+    return scratch.save(cuts.groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "cuts")
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", k: int = K, group_rows: int = GROUP_ROWS, columns: list[str] = ()) -> DataFrame:
     """doc_id, n_bytes, kept (binary), removed (array of start, stop byte offsets), columns.
 
     keep="first" removes later copies of a repeated passage; "none" removes all of them.
-    A null text is empty. Rows equal in doc_id and text are one document under "first" and
-    copies of each other under "none". A null doc_id comes last in text order. Texts
-    shorter than length are kept whole; an empty table gives an empty result. Other
-    columns of docs take no part; those named in `columns` are passed on.
+    A null text is empty. Repeated rows are copies of each other like any two documents. A
+    null doc_id comes last in text order. Texts shorter than length are kept whole; an
+    empty table gives an empty result. Other columns of docs take no part; those named in
+    `columns` are passed on, with an underscore behind names that the result has already.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("bigint").alias("key"), text.alias("text"), *columns)
-    cuts = repeated_intervals(base.select("rid", "key", "text"), scratch, length, keep, k, group_rows)
-    cuts = scratch.save(cuts.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "cuts")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) if columns else ""
-    joined = base.join(cuts, "rid", "left").select(F.col("key").alias("doc_id"), F.octet_length("text").cast("bigint").alias("n_bytes"), *columns, "text", "spans")
-    schema = "doc_id bigint, n_bytes bigint, " + (kinds + ", " if kinds else "") + "kept binary, removed array<struct<start: bigint, stop: bigint>>"
-    return joined.mapInArrow(_cut, schema)
+    inner = [f"c{i}" for i in range(len(columns))]
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("key"), text.alias("text"), *(F.col(f"`{c}`").alias(x) for c, x in zip(columns, inner)))
+    base = scratch.save(base, "base")
+    cuts = _spans_by_row(repeated_intervals(base.select("rid", "key", "text"), scratch, length, keep, k, group_rows), scratch, "rid")
+    joined = base.join(cuts, "rid", "left").select(F.col("key").alias("doc_id"), F.octet_length("text").cast("bigint").alias("n_bytes"), *inner, "text", "spans")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.select(*inner).schema) if inner else ""
+    out = joined.mapInArrow(_cut, f"doc_id bigint, n_bytes bigint, {kinds}kept binary, removed array<struct<start: bigint, stop: bigint>>")
+    own = ["doc_id", "n_bytes", "kept", "removed"]
+    return out.select(*own, *inner).toDF(*own, *free_names(own, *columns))
 
 
 def digest(result: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of suffix_dedup()'s rows."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes), text (what is left; a
+    character that was cut in two is replaced) of suffix_dedup()'s rows."""
     removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"])
-    return result.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return result.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 def brute_force(texts: list[bytes], length: int, keep: str) -> list[tuple[bytes, int]]:
@@ -452,18 +562,20 @@ def _coded_rows(batches):
 
 
 def _without_words(batches):
-    """Texts without the words that spans (byte offsets in coded words) cover, and the white space after them."""
+    """Texts (third from the end) without the words that spans (second; byte offsets in coded words)
+    cover, and the white space after them; the last column tells which texts were cut."""
     hasher = Hasher()
     for b in batches:
-        data, offsets = binary(b.column("text"))
-        lists = b.column("spans")
+        m = b.num_columns - 2
+        data, offsets = binary(b.column(m))
+        lists = b.column(m + 1)
         off = lists.offsets.to_numpy()
         starts, stops = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
         # part of a word at the end of a match is chance, not a repeated word
         starts, stops = -(-starts // WORD_BYTES), stops // WORD_BYTES
-        at = b.schema.get_field_index("text")
-        out = b.column(at).to_pylist()
-        for i in np.flatnonzero(np.diff(off)):
+        out = b.column(m).to_pylist()
+        cut = np.diff(off) > 0
+        for i in np.flatnonzero(cut):
             text = data[offsets[i] : offsets[i + 1]]
             edges = np.append(_words(text, hasher)[0], len(text))
             raw, kept, last = text.tobytes(), [], 0
@@ -471,8 +583,7 @@ def _without_words(batches):
                 kept.append(raw[last : edges[s]])
                 last = edges[e]
             out[i] = b"".join([*kept, raw[last:]]).decode("utf-8", "replace")
-        columns = [pa.array(out, pa.string()) if c == "text" else b.column(c) for c in b.schema.names if c != "spans"]
-        yield pa.RecordBatch.from_arrays(columns, [c for c in b.schema.names if c != "spans"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:m], pa.array(out, pa.string()), pa.array(cut)], [*b.schema.names[:m], "text", "cut"])
 
 
 def without_repeats(docs: DataFrame, words: int = 51, k: int = K, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -480,18 +591,24 @@ def without_repeats(docs: DataFrame, words: int = 51, k: int = K, group_rows: in
     length in bytes and the white space between them; n_chars, if there is one, follows. Rows of
     which only white space is left go; rows that had no more before stay as they are.
 
-    The suffix orders are those of the texts' words, each coded as WORD_BYTES bytes."""
+    Null and short texts stay as they are, repeated rows are copies like any others, a null
+    doc_id comes last in text order, and all columns are passed on whatever their names; an
+    empty table gives an empty result. The suffix orders are those of the texts' words, each
+    coded as WORD_BYTES bytes."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.xxhash64("doc_id", text)
-    base = docs.select(key.alias("rid"), F.col("doc_id").cast("bigint").alias("key"), text.alias("text"))
-    coded = scratch.save(base.mapInArrow(_coded_rows, "rid bigint, key bigint, text binary"), "coded")
-    cuts = repeated_intervals(coded, scratch, words * WORD_BYTES, "first", k, group_rows)
-    cuts = scratch.save(cuts.groupBy(F.col("rid").alias("_rid")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "cuts")
-    joined = docs.withColumn("_rid", key).join(cuts, "_rid", "left").drop("_rid").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start: bigint, stop: bigint>>")))
-    out = joined.withColumn("_cut", F.size("spans") > 0)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.drop("spans").schema)
-    out = out.mapInArrow(_without_words, kinds).filter("not _cut or trim(text) <> ''")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    base = scratch.save(docs.toDF(*inner).withColumn("rid", F.monotonically_increasing_id()), "base")
+    where = {c.lower(): x for c, x in zip(docs.columns, inner)}
+    text, doc_id, size = F.col(where["text"]), F.col(where["doc_id"]).cast("bigint"), where.get("n_chars")
+    coded = base.select("rid", doc_id.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    coded = scratch.save(coded.mapInArrow(_coded_rows, "rid bigint, key bigint, text binary"), "coded")
+    cuts = _spans_by_row(repeated_intervals(coded, scratch, words * WORD_BYTES, "first", k, group_rows), scratch, "rid")
+    scratch.drop("coded")
+    spans = F.coalesce("spans", F.array().cast("array<struct<start: bigint, stop: bigint>>")).alias("spans")
+    rest = [x for x in inner if x != where["text"]]
+    joined = base.join(cuts, "rid", "left").select(*rest, text.alias("text"), spans)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in joined.select(*rest).schema)
+    out = joined.mapInArrow(_without_words, f"{kinds}text string, cut boolean").filter("not cut or trim(text) <> ''").withColumnRenamed("text", where["text"])
+    if size:
+        out = out.withColumn(size, F.when(F.col("cut"), F.length(where["text"])).otherwise(F.col(size)).cast(base.schema[size].dataType))
+    return out.select(*inner).toDF(*docs.columns)

@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from quarry.llm.suffix_dedup import brute_force, digest, suffix_dedup, without_repeats
+from quarry.llm.suffix_dedup import brute_force, digest, longest_previous, suffix_dedup, without_repeats
 
 
 def corpus(seed=1, n=60):
@@ -70,7 +71,7 @@ def test_repeated_rows_and_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, t), (1, t), (None, t), (2, None)], "doc_id bigint, text string")
     first = {(r.doc_id, r.n_removed) for r in digest(suffix_dedup(docs, 50, "first", 10)).collect()}
-    assert first == {(1, 0), (None, len(t)), (2, 0)}
+    assert first == {(1, 0), (1, len(t)), (None, len(t)), (2, 0)}
     none = sorted((r.n_removed for r in digest(suffix_dedup(docs, 50, "none", 10)).collect()))
     assert none == [0, len(t), len(t), len(t)]
 
@@ -78,3 +79,35 @@ def test_repeated_rows_and_null_ids(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert digest(suffix_dedup(docs)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_longest_previous_factors(seed):
+    r = random.Random(seed)
+    text = "".join(r.choice("ab" if seed % 2 else "abcd") for _ in range(r.randint(1, 80)))
+    agree = lambda i, j: next((m for m in range(len(text)) if max(i, j) + m == len(text) or text[i + m] != text[j + m]), 0)
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    lcp = np.array([0] + [agree(i, j) for i, j in zip(order, order[1:])])
+    got = longest_previous(np.array(order), lcp)
+    assert got.tolist() == [max((agree(i, j) for j in range(i)), default=0) for i in order]
+
+
+def test_clashing_columns(spark):
+    t = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, t, "a", 5, 1.5, "x"), (2, "x " + t, "b", 6, 2.5, "y")], "doc_id long, text string, spans string, rid int, cut double, kept string")
+    assert [(r.doc_id, r.text, r.spans, r.rid, r.cut) for r in without_repeats(docs).orderBy("doc_id").collect()] == [(1, t, "a", 5, 1.5), (2, "x ", "b", 6, 2.5)]
+    got = suffix_dedup(docs, 50, k=16, columns=["kept", "rid"]).orderBy("doc_id").collect()
+    assert [(r.kept_, r.rid, bytes(r.kept)) for r in got] == [("x", 5, t.encode()), ("y", 6, b"x ")]
+
+
+def test_long_text_with_many_spans(spark):
+    """Thousands of runs in one text, and a cut between the bytes of one character."""
+    r = random.Random(4)
+    lines = ["é".join(str(r.randrange(10**9)) for _ in range(6)) for _ in range(4000)]
+    texts = ["".join(lines), "".join(x + str(i) for i, x in enumerate(lines)), "é" * 40 + "ê", "x" + "é" * 40 + "è"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in digest(suffix_dedup(docs, 50, "first", 16)).collect()}
+    raw = [t.encode() for t in texts]
+    for i, (kept, spans) in enumerate(brute_force(raw, 50, "first")):
+        assert (got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw[i]) - len(kept), spans, hashlib.sha256(kept).hexdigest())
+    assert got[1].n_spans > 3000
