@@ -1,10 +1,10 @@
 """Quality by nearest-neighbour votes in latent-semantic space.
 
-A text's terms are its byte trigrams, hashed into 4,096 classes; log(1 + count) is weighted
-by rarity and scaled to length 1. One more term is the share of words that repeat the word
-before them, times REPEAT. A truncated SVD of labelled documents gives the axes. Labelled vectors and axes are broadcast (their
-sizes are parameters); every document is projected and its cosines with all labelled
-vectors are computed in blocks, exactly. The score is the share of label 1 among the k
+A text's terms are its byte trigrams, hashed into CLASSES and present or not, and, counted,
+how far back each word last occurred (in powers of two; new words have a bin of their own)
+by its length. log(1 + count) is weighted by rarity and scaled to length 1. A truncated SVD of labelled documents gives the axes.
+Labelled vectors and axes are broadcast (their sizes are parameters); every document is
+projected and its cosines with all labelled vectors are computed in blocks, exactly. The score is the share of label 1 among the k
 nearest, weighted by cosine.
 
 Only the labelled sample is bounded (`per_label` documents of each label, by hash); the
@@ -18,16 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, rows
+from .common import binary, blocks, free_names, rows
 from .lm_scoring import _BLANK
 from .suffix_dedup import Hasher
 
 CLASSES = 4096
-TERMS = CLASSES + 1
+#: Bins of the distance to the last occurrence of a word (the last one: none), and of word lengths.
+GAPS, LENGTHS = 16, 16
+TERMS = CLASSES + GAPS * LENGTHS
 BLOCK = 1 << 20
 K, AXES, PER_LABEL = 25, 96, 3000
 SHARPNESS = 4
-REPEAT = 4.0
 
 
 def held_out(doc_id):
@@ -45,19 +46,21 @@ def term_counts(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> np.nda
         wide = text.astype(np.uint32)
         term = ((wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]) * np.uint32(0x9E3779B1) >> np.uint32(20)
         same = doc[:-2] == doc[2:]
-        out[:, :CLASSES] = np.bincount(doc[:-2][same] * CLASSES + term[same], minlength=n * CLASSES).reshape(n, CLASSES)
-        full = np.append(~_BLANK[text], False)
-        first = full.copy()
-        first[1:] &= ~full[:-1]
-        first[off] = full[off]
-        starts = np.flatnonzero(first)
-        last = np.append(False, full[:-1] & (~full[1:] | first[1:]))
-        ends = np.flatnonzero(last)
-        sums = hasher.prefix(text)
-        h = (sums[ends] - sums[starts]) * hasher.down[starts]
-        again = (h[1:] == h[:-1]) & (doc[starts[1:]] == doc[starts[:-1]])
-        words = np.bincount(doc[starts], minlength=n)
-        out[:, CLASSES] = np.bincount(doc[starts[1:][again]], minlength=n) / np.maximum(words, 1)
+        out[:, :CLASSES] = np.bincount(doc[:-2][same] * CLASSES + term[same], minlength=n * CLASSES).reshape(n, CLASSES) > 0
+    full = np.append(~_BLANK[text], False)
+    first = full.copy()
+    first[1:] &= ~full[:-1]
+    first[off] = full[off]
+    starts = np.flatnonzero(first)
+    ends = np.flatnonzero(np.append(False, full[:-1] & (~full[1:] | first[1:])))
+    sums = hasher.prefix(text)
+    h, owner = (sums[ends] - sums[starts]) * hasher.down[starts], doc[starts]
+    order = np.lexsort((h, owner))  # of equal words the earlier first
+    again = np.append(False, (h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1]))[: len(order)]
+    gap = np.full(len(order), GAPS - 1)
+    gap[again] = np.minimum(np.frexp(np.diff(order)[again[1:]])[1] - 1, GAPS - 2)
+    kind = gap * LENGTHS + np.minimum(ends - starts, LENGTHS - 1)[order]
+    out[:, CLASSES:] = np.bincount(owner[order] * (GAPS * LENGTHS) + kind, minlength=n * GAPS * LENGTHS).reshape(n, -1)
     return out
 
 
@@ -84,11 +87,8 @@ class Model:
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.rarity
-        x[:, CLASSES] = 0
         norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x /= np.where(norm > 0, norm, 1)
-        x[:, CLASSES] = REPEAT * counts[:, CLASSES]
-        return x
+        return x / np.where(norm > 0, norm, 1)
 
     def project(self, weighed: np.ndarray) -> np.ndarray:
         v = weighed @ self.axes
@@ -133,12 +133,14 @@ def _sample_rows(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, axes: int = AXES) -> Model:
-    """Learn from at most per_label documents of each label that are not held out."""
+    """Learn from at most per_label documents of each label that are not held out; of several
+    texts with one doc_id, from one."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("quality = 0").orderBy(*order).limit(per_label).unionByName(known.filter("quality = 1").orderBy(*order).limit(per_label))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("quality", "text")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
     got = texts.mapInArrow(_sample_rows, "quality int, terms binary, counts binary").toArrow()  # at most 2 * per_label documents
     counts = np.zeros((got.num_rows, TERMS), np.float32)
     for i, (t, c) in enumerate(zip(got["terms"].to_pylist(), got["counts"].to_pylist())):
@@ -149,27 +151,37 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, axes: in
 
 
 def score(docs: DataFrame, labels: DataFrame, k: int = K, per_label: int = PER_LABEL, columns: list[str] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs (doc_id, text), with `columns`.
+    """doc_id, held_out, score, predicted of each row of docs (doc_id, text), with `columns`, which
+    get an underscore behind a name that the result has already.
 
     A null text is empty; it gets the sample's share of label 1. Rows alike get the same
     score. A null doc_id is scored and not held out. Without labels every score is 0.5.
     Labels other than 0 and 1 are not learned; a document labelled both ways counts as 1.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, labels, per_label))
-    extra = [c for c in columns if c not in ("doc_id", "text")]
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), *extra, "text")
-    keep_text = "text" in columns
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "text" or keep_text)
+    inner = [f"c{i}" for i in range(len(columns))]
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), *(F.col(f"`{c}`").alias(x) for c, x in zip(columns, inner)), "text")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema if f.name != "text")
 
     def run(batches):
         hasher = Hasher()
         for b in batches:
-            data, offsets = binary(b.column(b.num_columns - 1))
+            last = b.num_columns - 1
+            data, offsets = binary(b.column(last))
             for i, j in blocks(offsets, BLOCK):
                 s = model.value.score(term_counts(data, offsets[i : j + 1], hasher), k)
-                head = [b.column(c).slice(i, j - i) for c in range(b.num_columns - (not keep_text))]
-                names = b.schema.names[: len(head)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+                head = [b.column(c).slice(i, j - i) for c in range(last)]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names[:last], "score", "predicted"])
 
-    return source.mapInArrow(run, kinds + "score double, predicted int")
+    own = ["doc_id", "held_out", "score", "predicted"]
+    out = source.mapInArrow(run, kinds + "score double, predicted int")
+    return out.select(*own, *inner).toDF(*own, *free_names(own, *columns))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, k: int = K, per_label: int = PER_LABEL) -> DataFrame:
+    """Rows of docs whose predicted label is 1, with all their columns, whatever their names.
+    Nulls, repeated rows and empty tables are as in score()."""
+    voted = score(docs, labels, k, per_label, docs.columns).filter("predicted = 1")
+    return voted.select(*(F.col(f"`{c}`") for c in voted.columns[4:])).toDF(*docs.columns)

@@ -43,7 +43,7 @@ def test_held_out_accuracy(spark):
     got = queries()["op7_quality_knn"](spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet").filter("quality in (0, 1)").select("doc_id", "quality")
     seen = got.filter("held_out").join(labels, "doc_id").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")), F.count("*")).first()
-    assert seen[1] > 50 and seen[0] > 0.9
+    assert seen[1] > 50 and seen[0] > 0.97
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert got.filter("score is null or score < 0 or score > 1 or predicted <> cast(score >= 0.5 as int)").count() == 0
 
@@ -58,3 +58,37 @@ def test_quality_edge_cases(spark):
     nothing = quality_knn.score(docs, labels.limit(0)).collect()
     assert {r.score for r in nothing} == {0.5}
     assert quality_knn.score(docs.limit(0), labels).count() == 0
+
+
+def test_votes_against_brute_force(spark):
+    """Terms, weights, projection, cosines and votes one by one, for every document of a table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality_knn.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality_knn.score(docs, labels).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        count = np.zeros(quality_knn.TERMS)
+        for i in range(len(raw) - 2):
+            count[((int.from_bytes(raw[i : i + 3], "big") * 0x9E3779B1) % 2**32) >> 20] = 1
+        last = {}
+        for i, w in enumerate(raw.split()):
+            gap = min((i - last[w]).bit_length() - 1, 14) if w in last else 15
+            count[quality_knn.CLASSES + gap * 16 + min(len(w), 15)] += 1
+            last[w] = i
+        weighed = np.log1p(count) * model.rarity
+        weighed /= max(np.linalg.norm(weighed), 1e-30)
+        v = weighed @ model.axes
+        cosine = model.vectors @ v / max(np.linalg.norm(v), 1e-30)
+        least = max(sorted(cosine)[-quality_knn.K], 1e-6)
+        votes = [(c**quality_knn.SHARPNESS, y) for c, y in zip(cosine, model.labels) if c >= least]
+        want = sum(c * y for c, y in votes) / sum(c for c, _ in votes) if votes else model.prior
+        assert abs(got[r.doc_id] - want) < 0.05, r.doc_id  # single precision may change the last neighbour
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 9, "x", 2.5), (2, None, None, None, None)], "doc_id long, text string, score int, predicted string, held_out double")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    assert quality_knn.score(docs, labels, columns=docs.columns).columns == ["doc_id", "held_out", "score", "predicted", "doc_id_", "text", "score_", "predicted_", "held_out_"]
+    assert sorted(map(tuple, quality_knn.accepted(docs, labels).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
