@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import mmap
+import re
 import uuid
 import zlib
 
@@ -59,8 +60,9 @@ def write_bytes(uri: str, *parts) -> None:
 # cuts between words
 
 
-def word_starts(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of parts between which this byte-level BPE never merges.
+def word_starts(text: np.ndarray, offsets: np.ndarray, whole: tuple[bytes, ...] = ()) -> np.ndarray:
+    """Starts of parts between which this byte-level BPE never merges; none lies inside a string
+    of `whole`, the tokens that the library takes out of a text first.
 
     Its pattern takes letters, digits, other signs and white space in runs of one kind, a run
     with the single space in front of it. So a text may be cut
@@ -84,6 +86,12 @@ def word_starts(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         cut[2:n] |= between & (middle == 0x0A)
         a, b = kind[:-1], kind[1:]
         cut[1:n] |= ((a == 1) & (b == 2)) | ((a == 2) & (b == 1) & (text[:-1] != 0x27))
+    if whole:
+        for m in re.finditer(b"|".join(map(re.escape, sorted(whole, key=len, reverse=True))), text.tobytes()):
+            i, j = m.span()
+            cut[i + 1 : j] = False
+            if np.searchsorted(offsets, i, "right") == np.searchsorted(offsets, j, "left"):  # not from two documents
+                cut[i] = cut[j] = True
     cut[offsets] = True
     return np.flatnonzero(cut[:-1])
 
@@ -105,7 +113,7 @@ def worker_coder(path: str, special_is_text: bool) -> WordCoder:
     return _CODERS[key]
 
 
-def tokenizer_coder(path: str, special_is_text: bool = True) -> WordCoder:
+def tokenizer_coder(path: str, special_is_text: bool = False) -> WordCoder:
     """Ids of words by the tokenizers library."""
     import os
 
@@ -123,6 +131,16 @@ def tokenizer_coder(path: str, special_is_text: bool = True) -> WordCoder:
     return WordCoder(code)
 
 
+def whole_tokens(path: str, special_is_text: bool) -> tuple[bytes, ...]:
+    """Strings that the library takes out of a text before anything else."""
+    from tokenizers import Tokenizer
+
+    added = Tokenizer.from_file(path).get_added_tokens_decoder().values()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+        raise NotImplementedError("added tokens that depend on what is around them")
+    return tuple(t.content.encode() for t in added if not (t.special and special_is_text))
+
+
 def id_type(path: str, end_id: int | None) -> str:
     """The narrowest type that holds every id of a tokenizer, and end_id."""
     from tokenizers import Tokenizer
@@ -145,7 +163,7 @@ def _shards(folder: str, path: str, end_id: int | None, special_is_text: bool, k
             if not b.num_rows:
                 continue
             if coder is None:
-                coder = worker_coder(path, special_is_text)
+                coder, whole = worker_coder(path, special_is_text), whole_tokens(path, special_is_text)
                 store, place = _store(f"{folder}/ids-{tag}.{kind}")
                 out = store.open_output_stream(place)
             data, offsets = binary(b.column(1))
@@ -153,7 +171,7 @@ def _shards(folder: str, path: str, end_id: int | None, special_is_text: bool, k
             for i, j in blocks(offsets, BLOCK):
                 text = data[offsets[i] : offsets[j]]
                 off = offsets[i : j + 1] - offsets[i]
-                starts = word_starts(text, off)
+                starts = word_starts(text, off, whole)
                 ids, sizes = coder(text, starts, len(text))
                 counts = per_row(starts, sizes, off)
                 if end_id is not None:
@@ -184,12 +202,13 @@ def _offsets(folder: str):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, special_is_text: bool = True) -> dict:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, special_is_text: bool = False) -> dict:
     """Encode every whole text of docs (doc_id, text) in doc_id order into `folder`; the manifest.
 
     A null text is empty; a null doc_id comes first; rows with equal ids stay next to each
     other. An empty table writes a manifest without shards. Strings of special tokens in a
-    text are ordinary text unless special_is_text is False. Other columns take no part.
+    text become those tokens, as the library does it, or with special_is_text ordinary text.
+    Other columns take no part.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
@@ -239,7 +258,10 @@ def _read(folder: str, digest: bool, dtype: str):
 
 
 def read_tokens(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, and ids or ids_crc32, from the files."""
+    """doc_id, start (ids of all documents before it), n_tokens, and ids or ids_crc32, from the files.
+
+    Each document written is a row, repeated ones too; a null doc_id is null again. A folder
+    without shards gives an empty result."""
     schema = "tag string, docs bigint, ids bigint, base bigint"
     manifest = read_manifest(folder)
     shards = manifest["shards"]

@@ -3,9 +3,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from quarry.llm.token_files import open_shard, read_manifest, read_tokens, tokenizer_coder, word_starts, write_tokens
+from quarry.llm.token_files import open_shard, read_manifest, read_tokens, tokenizer_coder, whole_tokens, word_starts, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,14 +17,20 @@ def texts():
     return ["", None, " ", " a", "a ", *("".join(r.choice(parts) + r.choice([" ", " ", ""]) for _ in range(r.randint(1, 25))) for _ in range(300))]
 
 
-def test_cutting_into_words_changes_no_id():
+@pytest.mark.parametrize("special_is_text", [False, True])
+def test_cutting_into_words_changes_no_id(special_is_text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    coder = tokenizer_coder(PATH)
-    for s in texts():
-        data = np.frombuffer((s or "").encode(), np.uint8)
-        ids, _ = coder(data, word_starts(data, np.array([0, len(data)])), len(data))
-        assert list(ids) == t.encode(s or "", add_special_tokens=False).ids, s
+    t.encode_special_tokens = special_is_text
+    coder, whole = tokenizer_coder(PATH, special_is_text), whole_tokens(PATH, special_is_text)
+    ts = [s or "" for s in texts()] + ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n y", "a'<|endoftext|>s", "<|endof", "text|>b"]
+    for s in ts:
+        data = np.frombuffer(s.encode(), np.uint8)
+        ids, _ = coder(data, word_starts(data, np.array([0, len(data)]), whole), len(data))
+        assert list(ids) == t.encode(s, add_special_tokens=False).ids, s
+    # all of them in one buffer: no cut depends on the next document
+    data, off = np.frombuffer("".join(ts).encode(), np.uint8), np.cumsum([0, *(len(s.encode()) for s in ts)])
+    ids, _ = coder(data, word_starts(data, off, whole), len(data))
+    assert list(ids) == [i for s in ts for i in t.encode(s, add_special_tokens=False).ids]
 
 
 def test_files_round_trip(spark, tmp_path):
@@ -34,7 +41,6 @@ def test_files_round_trip(spark, tmp_path):
     manifest = write_tokens(docs, folder, PATH)
     assert read_manifest(folder) == manifest
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want = sorted((((i is not None, i or 0), [*t.encode(s or "", add_special_tokens=False).ids, 0]) for i, s, _ in rows))
     flat = np.concatenate([open_shard(folder, s, manifest["dtype"])[2] for s in manifest["shards"]])
     assert len(flat) == manifest["ids"] == sum(len(ids) for _, ids in want)
