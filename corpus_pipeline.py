@@ -13,8 +13,7 @@ PASSAGE_WORDS = 51
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the votes of labelled neighbours reject go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_knn.score(docs, labels, columns=docs.columns).filter("predicted = 1").select(*docs.columns)
+    return quality_knn.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +28,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.emit(docs, mixing.mix(docs))
+    return mixing.emit(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each result is a written table."""
+    """All stages on documents; each result is a written table, kept until the next one is.
+
+    Nulls in any column, empty tables, repeated rows and further columns pass every stage
+    as its operator states; null and empty texts are copies of each other.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{i}")
+        scratch.drop(f"stage-{i - 1}")
     return docs
-
-

@@ -80,18 +80,11 @@ def _number(batches):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part), pa.array(number)], [*b.schema.names, "part", "number"])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: how often the mix takes each row.
-
-    A null text has size 0; a null source is a source of its own, after all others; rows
-    alike in doc_id, source and size share out their copies in any order, which gives the
-    same multiset of rows each time. Sources of size 0, and an empty table, get target 0.
-    Other columns of docs take no part.
-    """
-    scratch = Scratch(docs.sparkSession, "mix")
-    slim = scratch.save(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", text_size(F.col("text")).alias("size")), "sizes")
-    sorted_ = slim.repartitionByRange(F.col("source").asc_nulls_last(), "size", "doc_id").sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "doc_id")
-    numbered = scratch.save(sorted_.mapInArrow(_number, "doc_id bigint, source string, size bigint, part int, number bigint"), "numbered")
+def _copies(slim: DataFrame, scratch: Scratch, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """The rows of slim (doc_id, source, size and any more, in a written table) with source_size,
+    target and copies."""
+    order = [F.col("source").asc_nulls_last(), "size", "doc_id"]
+    numbered = scratch.save(slim.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_number, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema) + ", part int, number bigint"), "numbered")
     parts = numbered.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = parts.groupBy("source").agg(F.sum("s").alias("source_size"))
@@ -102,17 +95,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     j = numbered.alias("n").join(base.alias("b"), F.expr("n.part = b.part and n.source <=> b.source"))
     i = F.col("base") + F.col("number")
     crossed = F.floor(F.col("shift") + (i + 1) * F.col("rate")) - F.floor(F.col("shift") + i * F.col("rate"))
-    return j.select("n.doc_id", "n.source", "n.size", "source_size", "target", crossed.cast("bigint").alias("copies"))
+    return j.select(*(f"n.{c}" for c in slim.columns), "source_size", "target", crossed.cast("bigint").alias("copies"))
 
 
-def digest(mixed: DataFrame) -> DataFrame:
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies: how often the mix takes each row.
+
+    A null text has size 0; a null source is a source of its own, after all others; rows
+    alike in doc_id, source and size share out their copies in any order, which gives the
+    same multiset of rows each time. Sources of size 0, and an empty table, get target 0.
+    Other columns of docs take no part.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    slim = scratch.save(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", text_size(F.col("text")).alias("size")), "sizes")
+    return _copies(slim, scratch, weights, most, seed)
 
 
-def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Rows of docs, each as often as the mix takes it. doc_id must be unique."""
-    taken = mixed.filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    return docs.join(taken, F.expr("doc_id <=> _id")).withColumn("_n", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*docs.columns)
+def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0) -> DataFrame:
+    """Rows of docs, each as often as the mix takes it: repeated rows and rows with one doc_id
+    (or none) each by its own number of copies.
+
+    Nulls and empty tables are as in mix(). All columns are passed on, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    base = scratch.save(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "base")
+    where = {c.lower(): x for c, x in zip(docs.columns, inner)}
+    slim = base.select(F.col(where["doc_id"]).cast("bigint").alias("doc_id"), F.col(where["source"]).alias("source"), text_size(F.col(where["text"])).alias("size"), "row")
+    taken = _copies(scratch.save(slim, "sizes"), scratch, weights, most, seed).filter("copies > 0").select("row", "copies")
+    taken = scratch.save(taken, "taken")
+    return base.join(taken, "row").withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*inner).toDF(*docs.columns)
+
+
+def digest(mixed: DataFrame) -> DataFrame:
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 SQL = """

@@ -45,9 +45,23 @@ def test_targets_copies_and_reruns(spark):
         assert abs(sum(g.taken for g in mine) - t) <= 3 * max(g.size for g in mine)
     assert abs(sum(want.values()) - sum(sizes.values())) < 1e-6
     assert sorted(map(repr, got)) == sorted(map(repr, digest(mix(docs.repartition(3))).collect()))
-    some = docs.filter("doc_id is not null")
-    mixed = mix(some)
-    assert emit(some, mixed).count() == sum(g.copies for g in mixed.collect())
+    assert emit(docs).count() == sum(g.copies for g in got)
+
+
+def test_emit_by_row(spark):
+    """Repeated ids and rows, null ids and clashing columns: each row has its own copies."""
+    rows = [(1, "w " * 30, "big", 5, "a"), (1, "v " * 4, "big", 6, "b"), (None, "u " * 9, "big", 7, "c"), (2, "x", "small", 8, "d"), (2, "x", "small", 8, "d"), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, row string")
+    want = {}
+    for g in mix(docs).collect():
+        want[g.doc_id, g.source, g.size] = want.get((g.doc_id, g.source, g.size), 0) + g.copies
+    got = {}
+    for r in emit(docs).collect():
+        assert tuple(r) in rows
+        at = (r.doc_id, r.source, len((r.text or "").split()))
+        got[at] = got.get(at, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert emit(docs.limit(0)).columns == docs.columns and emit(docs.limit(0)).count() == 0
 
 
 def test_empty_table(spark):
