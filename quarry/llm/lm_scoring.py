@@ -36,7 +36,8 @@ BEGIN, END = 0, 1
 PRIOR = 16.0
 HEAD = 1 << 20
 BLOCK = 1 << 20
-HOLD = 2 << 20
+#: Tokens that a task counts at a time, and rows of the batches it sends.
+HOLD, CHUNK = 2 << 20, 1 << 16
 BLOOM_BITS = 27
 #: Odd factors below 2**63 of the two multiplicative hashes.
 BLOOM_FACTORS = (0x1E3779B97F4A7C15, 0x42B2AE3D27D4EB4F)
@@ -78,42 +79,54 @@ def bigrams(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.n
     return keys[inner[1:]], counts + 1
 
 
-def _counted(keys: list[np.ndarray], column: int) -> pa.RecordBatch:
-    """Distinct keys with their counts as background (0) or target (1)."""
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
-    none = np.zeros(len(key), np.int64)
-    return rows(["key", "b", "t"], key, *((n, none) if column == 0 else (none, n)))
+def _counted(codes: list[np.ndarray]):
+    """Distinct keys with their counts as background and as target, of codes key << 1 | target."""
+    codes = np.concatenate(codes)
+    codes.sort()
+    edge = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(codes))
+    code, n = codes[edge[:-1]], np.diff(edge)
+    target = np.where(code & 1, n, 0)
+    code >>= 1
+    opens = np.append(True, code[1:] != code[:-1])
+    begin = np.flatnonzero(opens)
+    key, b, t = code[begin], np.add.reduceat(n, begin), np.add.reduceat(target, begin)
+    for i in range(0, len(key), CHUNK):
+        yield rows(["key", "b", "t"], key[i : i + CHUNK], b[i : i + CHUNK], t[i : i + CHUNK])
 
 
 def _count_rows(batches):
     """(key, background, target) of a task's bigrams, and of classes of words as -1 - class."""
     hasher = Hasher()
-    held: tuple[list, list] = [], []
+    held, count = [], 0
     one = np.zeros((2, CLASSES), np.int64)
     for b in batches:
         data, offsets = binary(b.column(0))
         good = b.column(1).to_numpy(zero_copy_only=False)
         for i, j in blocks(offsets, BLOCK):
             keys, counts = bigrams(data, offsets[i : j + 1], hasher)
-            chosen = (keys, keys[np.repeat(good[i:j], counts)])
-            for k in (0, 1):
-                one[k] += np.bincount(chosen[k] & (CLASSES - 1), minlength=CLASSES)
-                one[k, BEGIN] += int(good[i:j].sum()) if k else j - i
-                held[k].append(chosen[k])
-            if sum(map(len, held[0])) > HOLD:
-                yield from (_counted(h, k) for k, h in enumerate(held))
-                held = [], []
-    if held[0]:
-        yield from (_counted(h, k) for k, h in enumerate(held))
+            target = np.repeat(good[i:j], counts)
+            word = keys & (CLASSES - 1)
+            one[0] += np.bincount(word, minlength=CLASSES)
+            one[1] += np.bincount(word[target], minlength=CLASSES)
+            one[:, BEGIN] += j - i, int(good[i:j].sum())
+            held.append(keys << 1 | target)
+            count += len(keys)
+            if count > HOLD:
+                yield from _counted(held)
+                held, count = [], 0
+    if held:
+        yield from _counted(held)
     used = np.flatnonzero(one[0])
-    yield rows(["key", "b", "t"], -1 - used, one[0][used], one[1][used])
+    for i in range(0, len(used), CHUNK):
+        u = used[i : i + CHUNK]
+        yield rows(["key", "b", "t"], -1 - u, one[0][u], one[1][u])
 
 
 class Table:
     """Look-up of values by key: open addressing, all keys of a batch side by side."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, max(2 * len(keys) - 1, 1).bit_length())
         self.mask = (1 << self.bits) - 1
         self.keys = np.full(1 << self.bits, -(1 << 62), np.int64)
         self.values = np.zeros(1 << self.bits)
@@ -201,7 +214,7 @@ def _score_rows(shared, head, bloom):
 
     def run(batches):
         classes, hasher = Classes(*shared.value), Hasher()
-        table, words = Table(*head.value), bloom.value
+        table, words = head.value, bloom.value
         for b in batches:
             row, doc = b.column(0).to_numpy(), b.column(1)
             data, offsets = binary(b.column(2))
@@ -258,7 +271,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
             break
     got = pairs.filter(level >= cut).toArrow()  # at most HEAD rows
     top = np.stack([got[c].to_numpy() for c in ("key", "b", "t")], axis=1)
-    head = spark.sparkContext.broadcast((top[:, 0], Classes(*one).loss_difference(top[:, 0], top[:, 1], top[:, 2])))
+    head = spark.sparkContext.broadcast(Table(top[:, 0], Classes(*one).loss_difference(top[:, 0], top[:, 1], top[:, 2])))
     rest = pairs.filter(level < cut)
     bits = rest.select("key").mapInArrow(_bloom_rows, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**21 rows
     words = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
