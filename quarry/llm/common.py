@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SWEPT = [0.0]
+SWEEP_SECONDS = 4
 
 #: Bytes of text that numpy works on at once; temporaries are some ten times that.
 BLOCK_BYTES = 1 << 20
@@ -43,6 +46,10 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
+        if time.monotonic() - _SWEPT[0] > SWEEP_SECONDS:
+            # Spark deletes the shuffle files of a plan that is done once the driver's JVM has collected it
+            self.spark.sparkContext._jvm.System.gc()
+            _SWEPT[0] = time.monotonic()
         return self.load(name, df.schema)
 
     def load(self, name: str, schema=None) -> DataFrame:

@@ -124,7 +124,9 @@ def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_C
     slim = base.select(F.col(where["doc_id"]).cast("bigint").alias("doc_id"), F.col(where["source"]).alias("source"), text_size(F.col(where["text"])).alias("size"), "row")
     taken = _copies(scratch.save(slim, "sizes"), scratch, weights, most, seed).filter("copies > 0").select("row", "copies")
     taken = scratch.save(taken, "taken")
-    return base.join(taken, "row").withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*inner).toDF(*docs.columns)
+    scratch.drop("sizes")
+    scratch.drop("numbered")
+    return base.hint("merge").join(taken, "row").withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*inner).toDF(*docs.columns)
 
 
 def digest(mixed: DataFrame) -> DataFrame:

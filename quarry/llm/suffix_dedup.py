@@ -142,12 +142,12 @@ def periodic(text: np.ndarray, pos: np.ndarray, h: np.ndarray, length: int):
     return keep, runs
 
 
-def _anchor_rows(length: int, k: int, first_stays: bool):
+def _anchor_rows(length: int, k: int, first_stays: bool, code=None):
     def run(batches):
         hasher = Hasher()
-        for b in batches:
-            rid = b.column(0).to_numpy()
-            data, offsets = binary(b.column(1))
+        for b in map(code, batches) if code else batches:
+            rid = b.column("rid").to_numpy()
+            data, offsets = binary(b.column("text"))
             for i, j in blocks(offsets):
                 off = offsets[i : j + 1]
                 row, pos, h, far, close = anchors(data, off, length, k, hasher)
@@ -171,14 +171,14 @@ def _anchor_rows(length: int, k: int, first_stays: bool):
 CONTEXT = "h bigint, rid bigint, key bigint, pos bigint, left int, ctx binary"
 
 
-def _context_rows(length: int):
+def _context_rows(length: int, code=None):
     """The bytes around each listed anchor of a document that its own windows cover."""
 
     def run(batches):
-        for b in batches:
-            rid, key = b.column(0).to_numpy(), b.column(1)
-            data, offsets = binary(b.column(2))
-            lists = b.column(3)
+        for b in map(code, batches) if code else batches:
+            rid, key = b.column("rid").to_numpy(), b.column("key")
+            data, offsets = binary(b.column("text"))
+            lists = b.column("marks")
             off = lists.offsets.to_numpy()
             pos, h, far, close = (lists.values.field(c).to_numpy() for c in ("pos", "h", "far", "close"))
             row = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -417,30 +417,33 @@ def _taken_apart(places: DataFrame, scratch: Scratch, length: int, first_stays:
     return small, found
 
 
-def repeated_intervals(docs: DataFrame, scratch: Scratch, length: int = 400, keep: str = "first", k: int = K, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """rid, start, stop: the parts of the texts of docs (rid, key, text) that go. They may overlap.
-    rid is unique, and docs a written table."""
+def repeated_intervals(docs: DataFrame, scratch: Scratch, length: int = 400, keep: str = "first", k: int = K, group_rows: int = GROUP_ROWS, code=None) -> DataFrame:
+    """rid, start, stop: the parts of the texts of docs (rid, key, text) that go. They may overlap,
+    and pass the end of a text that is a copy as a whole. rid is unique, and docs a written
+    table. With code, a function of batches, the bytes are those that it makes of the texts."""
     if not 1 <= k < length or keep not in ("first", "none"):
         raise ValueError("k must be below length; keep is 'first' or 'none'")
     first_stays = keep == "first"
-    docs = docs.filter(F.octet_length("text") >= length)
+    if code is None:
+        docs = docs.filter(F.octet_length("text") >= length)
     # copies of whole texts: the first in text order stands for all
-    slim = scratch.save(docs.select("rid", "key", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.octet_length("text").cast("bigint").alias("size")), "slim")
+    slim = scratch.save(docs.select("rid", "key", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.octet_length("text").cast("bigint").alias("size")).filter("size > 0"), "slim")
     order = F.struct(F.col("key").isNull(), "key", "rid")
     lead = slim.groupBy("digest").agg(F.min(order).alias("lead"), F.count("*").alias("copies")).filter("copies > 1").select("digest", F.col("lead.rid").alias("lead_rid"))
-    copied = scratch.save(slim.join(scratch.save(lead, "lead"), "digest").select("rid", "lead_rid", "size"), "copied")
+    copied = scratch.save(slim.join(scratch.save(lead, "lead"), "digest").select("rid", "lead_rid", "size", F.lit(1 << 60).alias("most")), "copied")
     others = copied.filter("rid <> lead_rid").select("rid")
     whole = copied.filter("rid <> lead_rid") if first_stays else copied
-    whole = whole.select("rid", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("stop"))
+    whole = whole.select("rid", F.lit(0).cast("bigint").alias("start"), F.col("size" if code is None else "most").alias("stop"))
 
-    found = scratch.save(docs.select("rid", "text").mapInArrow(_anchor_rows(length, k, first_stays), "rid bigint, pos bigint, h bigint, far int, close int, stop bigint"), "anchors")
+    found = scratch.save(docs.select("rid", "text").mapInArrow(_anchor_rows(length, k, first_stays, code), "rid bigint, pos bigint, h bigint, far int, close int, stop bigint"), "anchors")
     marks = found.filter("h is not null").join(others, "rid", "left_anti")
     counts = scratch.save(marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     lists = marks.join(counts.select("h"), "h", "left_semi").groupBy("rid").agg(F.collect_set(F.struct("pos", "h", "far", "close")).alias("marks"))
     lists = scratch.save(lists, "lists")
     local = scratch.save(found.filter("h is null").select("rid", F.col("pos").alias("start"), "stop"), "local")
     scratch.drop("anchors")
-    around = docs.join(lists, "rid").select("rid", "key", "text", "marks").mapInArrow(_context_rows(length), CONTEXT)
+    # by shuffle at every size: the lists grow with the input
+    around = docs.hint("merge").join(lists, "rid").select("rid", "key", "text", "marks").mapInArrow(_context_rows(length, code), CONTEXT)
     many = counts.filter(F.col("n") > group_rows).select("h", F.lit(True).alias("many"))
     places, cut = around, []
     if many.limit(1).count():
@@ -491,7 +494,10 @@ def _cut(batches):
 
 
 def _spans_by_row(cuts: DataFrame, scratch: Scratch, rid: str) -> DataFrame:
-    return scratch.save(cuts.groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "cuts")
+    out = scratch.save(cuts.groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "cuts")
+    for name in ("settled", "local", "copied", "slim", "lead"):
+        scratch.drop(name)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", k: int = K, group_rows: int = GROUP_ROWS, columns: list[str] = ()) -> DataFrame:
@@ -551,14 +557,12 @@ def _words(text: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * hasher.down[starts] + (ends - starts).astype(np.uint64))
 
 
-def _coded_rows(batches):
-    """(rid, key, text) with each word of the text as WORD_BYTES bytes, its hash."""
+def _coded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with each word of the column text as WORD_BYTES bytes, its hash."""
     hasher = Hasher()
-    for b in batches:
-        data, offsets = binary(b.column("text"))
-        for i, j in blocks(offsets):
-            coded = [_words(data[s:e], hasher)[1].tobytes() for s, e in zip(offsets[i:j], offsets[i + 1 : j + 1])]
-            yield rows(["rid", "key", "text"], b.column("rid").slice(i, j - i), b.column("key").slice(i, j - i), pa.array(coded, pa.binary()))
+    data, offsets = binary(batch.column("text"))
+    coded = [_words(data[s:e], hasher)[1].tobytes() for s, e in zip(offsets, offsets[1:])]
+    return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(coded, pa.binary()))
 
 
 def _without_words(batches):
@@ -578,10 +582,10 @@ def _without_words(batches):
         for i in np.flatnonzero(cut):
             text = data[offsets[i] : offsets[i + 1]]
             edges = np.append(_words(text, hasher)[0], len(text))
-            raw, kept, last = text.tobytes(), [], 0
+            raw, kept, last, most = text.tobytes(), [], 0, len(edges) - 1
             for s, e in merge(starts[off[i] : off[i + 1]], stops[off[i] : off[i + 1]]):
-                kept.append(raw[last : edges[s]])
-                last = edges[e]
+                kept.append(raw[last : edges[min(s, most)]])
+                last = edges[min(e, most)]
             out[i] = b"".join([*kept, raw[last:]]).decode("utf-8", "replace")
         yield pa.RecordBatch.from_arrays([*b.columns[:m], pa.array(out, pa.string()), pa.array(cut)], [*b.schema.names[:m], "text", "cut"])
 
@@ -600,10 +604,8 @@ def without_repeats(docs: DataFrame, words: int = 51, k: int = K, group_rows: in
     base = scratch.save(docs.toDF(*inner).withColumn("rid", F.monotonically_increasing_id()), "base")
     where = {c.lower(): x for c, x in zip(docs.columns, inner)}
     text, doc_id, size = F.col(where["text"]), F.col(where["doc_id"]).cast("bigint"), where.get("n_chars")
-    coded = base.select("rid", doc_id.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    coded = scratch.save(coded.mapInArrow(_coded_rows, "rid bigint, key bigint, text binary"), "coded")
-    cuts = _spans_by_row(repeated_intervals(coded, scratch, words * WORD_BYTES, "first", k, group_rows), scratch, "rid")
-    scratch.drop("coded")
+    texts = base.select("rid", doc_id.alias("key"), text.alias("text")).filter(F.octet_length("text") >= 2 * words - 1)
+    cuts = _spans_by_row(repeated_intervals(texts, scratch, words * WORD_BYTES, "first", k, group_rows, _coded), scratch, "rid")
     spans = F.coalesce("spans", F.array().cast("array<struct<start: bigint, stop: bigint>>")).alias("spans")
     rest = [x for x in inner if x != where["text"]]
     joined = base.join(cuts, "rid", "left").select(*rest, text.alias("text"), spans)
