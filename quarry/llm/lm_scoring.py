@@ -162,6 +162,18 @@ class Table:
         return found, value
 
 
+_TABLES: dict[object, Table] = {}
+
+
+def _table(head) -> Table:
+    """The table of a broadcast, built once in a worker process."""
+    key = getattr(head, "_path", None) or id(head)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = Table(*head.value)
+    return _TABLES[key]
+
+
 def _bloom_places(keys: np.ndarray):
     """(word, bit) of each hash of the keys."""
     for m in BLOOM_FACTORS:
@@ -214,7 +226,7 @@ def _score_rows(shared, head, bloom):
 
     def run(batches):
         classes, hasher = Classes(*shared.value), Hasher()
-        table, words = head.value, bloom.value
+        table, words = _table(head), bloom.value
         for b in batches:
             row, doc = b.column(0).to_numpy(), b.column(1)
             data, offsets = binary(b.column(2))
@@ -271,7 +283,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
             break
     got = pairs.filter(level >= cut).toArrow()  # at most HEAD rows
     top = np.stack([got[c].to_numpy() for c in ("key", "b", "t")], axis=1)
-    head = spark.sparkContext.broadcast(Table(top[:, 0], Classes(*one).loss_difference(top[:, 0], top[:, 1], top[:, 2])))
+    head = spark.sparkContext.broadcast((top[:, 0].copy(), Classes(*one).loss_difference(top[:, 0], top[:, 1], top[:, 2])))
     rest = pairs.filter(level < cut)
     bits = rest.select("key").mapInArrow(_bloom_rows, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**21 rows
     words = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
