@@ -35,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def sweep(spark: SparkSession, every: float = 0) -> None:
+    """Let the driver's JVM collect plans that are done: Spark deletes the shuffle files of such."""
+    if time.monotonic() - _SWEPT[0] >= every:
+        spark.sparkContext._jvm.System.gc()
+        _SWEPT[0] = time.monotonic()
+
+
 class Scratch:
     """Tables written as Parquet to the shared folder, to cut lineage: a lost executor
     then costs its own tasks only. They go when dropped or when the driver ends."""
@@ -46,10 +53,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
-        if time.monotonic() - _SWEPT[0] > SWEEP_SECONDS:
-            # Spark deletes the shuffle files of a plan that is done once the driver's JVM has collected it
-            self.spark.sparkContext._jvm.System.gc()
-            _SWEPT[0] = time.monotonic()
+        sweep(self.spark, SWEEP_SECONDS)
         return self.load(name, df.schema)
 
     def load(self, name: str, schema=None) -> DataFrame:

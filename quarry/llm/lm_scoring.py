@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary, blocks, mix, ragged, rows
+from .common import Scratch, binary, blocks, mix, ragged, rows, sweep
 from .suffix_dedup import Hasher
 
 BITS = 18
@@ -39,8 +39,8 @@ BLOCK = 1 << 20
 #: Tokens that a task counts at a time, and rows of the batches it sends.
 HOLD, CHUNK = 2 << 20, 1 << 16
 BLOOM_BITS = 27
-#: Odd factors below 2**63 of the two multiplicative hashes.
-BLOOM_FACTORS = (0x1E3779B97F4A7C15, 0x42B2AE3D27D4EB4F)
+#: Odd factors below 2**63 of the multiplicative hashes; one is enough at 16 MB, and builds in half the rows.
+BLOOM_FACTORS = (0x1E3779B97F4A7C15,)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -269,6 +269,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     parts = marked.mapInArrow(_count_rows, "key bigint, b bigint, t bigint")
     summed = parts.groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
     counts = scratch.save(summed.filter("key < 0 or b > 1 or t > 0"), "counts")
+    del parts, summed
     one = np.zeros((2, CLASSES))
     got = counts.filter("key < 0").toArrow()  # at most 2**18 rows
     one[:, -1 - got["key"].to_numpy()] = got["b"].to_numpy(), got["t"].to_numpy()
@@ -284,11 +285,14 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     got = pairs.filter(level >= cut).toArrow()  # at most HEAD rows
     top = np.stack([got[c].to_numpy() for c in ("key", "b", "t")], axis=1)
     head = spark.sparkContext.broadcast((top[:, 0].copy(), Classes(*one).loss_difference(top[:, 0], top[:, 1], top[:, 2])))
+    sweep(spark)
     rest = pairs.filter(level < cut)
     bits = rest.select("key").mapInArrow(_bloom_rows, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**21 rows
     words = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
     words[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
     bloom = spark.sparkContext.broadcast(words)
+    del bits
+    sweep(spark)
     tail = rest.mapInArrow(_model_rows(shared), "key bigint, model double")
     tokens = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     tokens = tokens.mapInArrow(_score_rows(shared, head, bloom), "row bigint, doc_id bigint, key bigint, d double, n bigint")
