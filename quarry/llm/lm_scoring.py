@@ -16,8 +16,7 @@ Counts of all documents are summed by one shuffle of each task's distinct bigram
 scoring, the most frequent bigrams (2**20 at most) are broadcast; other tokens meet the
 model by a shuffle, where no key is hot, as the hot ones are among those broadcast. A
 bigram that occurs once in the corpus, in no target text, needs no entry: its loss follows
-from class counts. A Bloom filter of fixed size (16 MB) over the model's other entries,
-broadcast too, spares most such tokens the shuffle; it never hides an entry.
+from class counts.
 """
 
 from __future__ import annotations
@@ -38,9 +37,6 @@ HEAD = 1 << 20
 BLOCK = 1 << 20
 #: Tokens that a task counts at a time, and rows of the batches it sends.
 HOLD, CHUNK = 2 << 20, 1 << 16
-BLOOM_BITS = 27
-#: Odd factors below 2**63 of the multiplicative hashes; one is enough at 16 MB, and builds in half the rows.
-BLOOM_FACTORS = (0x1E3779B97F4A7C15,)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -174,26 +170,6 @@ def _table(head) -> Table:
     return _TABLES[key]
 
 
-def _bloom_places(keys: np.ndarray):
-    """(word, bit) of each hash of the keys."""
-    for m in BLOOM_FACTORS:
-        pos = keys.astype(np.uint64) * np.uint64(m) >> np.uint64(64 - BLOOM_BITS)
-        yield (pos >> np.uint64(6)).astype(np.int64), pos & np.uint64(63)
-
-
-def _bloom_rows(batches):
-    for b in batches:
-        for word, bit in _bloom_places(b.column(0).to_numpy()):
-            yield rows(["word", "bits"], word, (np.uint64(1) << bit).view(np.int64))
-
-
-def _may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for word, bit in _bloom_places(keys):
-        out &= (words[word] >> bit & np.uint64(1)).astype(bool)
-    return out
-
-
 class Classes:
     """Class counts of both models and what follows from them."""
 
@@ -220,13 +196,13 @@ def _model_rows(shared):
     return run
 
 
-def _score_rows(shared, head, bloom):
-    """Per document the sum over the tokens settled here, under a key no bigram has; and every
-    other token with its loss for the case that the model has no entry."""
+def _score_rows(shared, head):
+    """Per document its number of tokens and the sum over those in the head, under a key that no
+    bigram has; and every other token's key, without a loss."""
+    names = ["row", "doc_id", "key", "d", "n"]
 
     def run(batches):
-        classes, hasher = Classes(*shared.value), Hasher()
-        table, words = _table(head), bloom.value
+        hasher, table = Hasher(), _table(head)
         for b in batches:
             row, doc = b.column(0).to_numpy(), b.column(1)
             data, offsets = binary(b.column(2))
@@ -234,18 +210,37 @@ def _score_rows(shared, head, bloom):
                 keys, counts = bigrams(data, offsets[i : j + 1], hasher)
                 at = np.repeat(np.arange(j - i), counts)
                 found, loss = table.find(keys)
-                rest = np.flatnonzero(~found)
-                loss[rest] = classes.loss_difference(keys[rest], 1.0, 0.0)
-                sent = rest[_may_hold(words, keys[rest])]
-                sent_loss = loss[sent]
-                loss[sent] = 0
                 own = row[i:j]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), doc.slice(i, j - i), pa.array(-1 - own), pa.array(np.bincount(at, loss, j - i)), pa.array(counts)],
-                    ["row", "doc_id", "key", "d", "n"],
-                )
-                if len(sent):
-                    yield rows(["row", "doc_id", "key", "d", "n"], own[at[sent]], pa.nulls(len(sent), pa.int64()), keys[sent], sent_loss, np.zeros(len(sent), np.int64))
+                yield rows(names, own, doc.slice(i, j - i), -1 - own, np.bincount(at, loss, j - i), counts)
+                sent = np.flatnonzero(~found)
+                for s in range(0, len(sent), CHUNK):
+                    x = sent[s : s + CHUNK]
+                    none = (pa.nulls(len(x), kind) for kind in (pa.float64(), pa.int64()))
+                    yield rows(names, own[at[x]], pa.nulls(len(x), pa.int64()), keys[x], *none)
+
+    return run
+
+
+def _loss_rows(shared):
+    """(row, doc_id, key, d, n, model) to (row, doc_id, d, n), d being a sum over tokens: a key
+    without entry occurs once, in no target text."""
+
+    def run(batches):
+        classes = Classes(*shared.value)
+        for b in batches:
+            row, key = b.column(0).to_numpy(), b.column(2).to_numpy()
+            d, n, model = (b.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5))
+            own = b.column(4).is_valid().to_numpy(zero_copy_only=False)
+            loss = np.where(own, d, model)
+            alone = np.flatnonzero(~own & np.isnan(model))
+            loss[alone] = classes.loss_difference(key[alone], 1.0, 0.0)
+            yield rows(["row", "doc_id", "d", "n"], row[own], b.column(1).filter(pa.array(own)), loss[own], n[own].astype(np.int64))
+            sent = np.flatnonzero(~own)
+            sent = sent[np.argsort(row[sent], kind="stable")]
+            if len(sent):
+                at = row[sent]
+                begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                yield rows(["row", "doc_id", "d", "n"], at[begin], pa.nulls(len(begin), pa.int64()), np.add.reduceat(loss[sent], begin), np.zeros(len(begin), np.int64))
 
     return run
 
@@ -286,17 +281,11 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     top = np.stack([got[c].to_numpy() for c in ("key", "b", "t")], axis=1)
     head = spark.sparkContext.broadcast((top[:, 0].copy(), Classes(*one).loss_difference(top[:, 0], top[:, 1], top[:, 2])))
     sweep(spark)
-    rest = pairs.filter(level < cut)
-    bits = rest.select("key").mapInArrow(_bloom_rows, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**21 rows
-    words = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
-    words[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
-    bloom = spark.sparkContext.broadcast(words)
-    del bits
-    sweep(spark)
-    tail = rest.mapInArrow(_model_rows(shared), "key bigint, model double")
+    tail = pairs.filter(level < cut).mapInArrow(_model_rows(shared), "key bigint, model double")
     tokens = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    tokens = tokens.mapInArrow(_score_rows(shared, head, bloom), "row bigint, doc_id bigint, key bigint, d double, n bigint")
-    met = tokens.join(tail, "key", "left").withColumn("d", F.coalesce("model", "d"))
+    tokens = tokens.mapInArrow(_score_rows(shared, head), "row bigint, doc_id bigint, key bigint, d double, n bigint")
+    met = tokens.hint("merge").join(tail, "key", "left").select("row", "doc_id", "key", "d", "n", "model")
+    met = met.mapInArrow(_loss_rows(shared), "row bigint, doc_id bigint, d double, n bigint")
     sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("d").alias("d"))
     return sums.select("doc_id", "n_tokens", (F.col("d") / F.col("n_tokens")).alias("score"))
 
