@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from .operators.printers import print_human, print_json
 from .operators.search import run_query
 from .sources.history import History
-from .sources.store import info, open_catalog, open_or_build, write_catalog
+from .sources.store import check_catalog, info, open_catalog, open_or_build, write_catalog
 
 
 def session() -> SparkSession:
@@ -56,7 +56,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     try:
         if args.command == "query":
-            files = open_or_build(spark, args.catalog, os.path.expanduser("~"))["files"]
+            ready = check_catalog(spark, args.catalog) == "ok"  # whatever its root: it was built on purpose
+            files = (open_catalog(spark, args.catalog) if ready else open_or_build(spark, args.catalog, os.path.expanduser("~")))["files"]
             result = run_query(files, args.text, args.limit, history=history, mode=args.mode)
             if args.json:
                 print_json(result, quiet=args.quiet)

@@ -29,9 +29,15 @@ select 4000000000 + p_partkey, concat('node_modules/', lower(p_type), '/', lower
 union all
 select 5000000000 + page_id, concat('web/', regexp_replace(regexp_replace(regexp_replace(url,'[?#].*$',''),'^https?://',''),'/+$','')),
        cast(length(html) as bigint), 0 from pages
+union all
+select 6000000000 + s_suppkey, concat(
+         case s_suppkey % 7 when 0 then repeat('d/', cast(s_suppkey % 20 as int)) when 1 then '.cache/pip/http/' when 2 then '.config/app/data/'
+           when 3 then 'objects/0123456789abcdef0123/' when 4 then 'home/6186feed-abb5-4bb6-b116-f0178b81fa0f/' when 5 then 'src/build/' else 'var/logs/debug/' end,
+         'sup_', cast(s_suppkey as string), case s_suppkey % 5 when 0 then '.o' when 1 then '.docx' when 2 then '.log' when 3 then '.yaml' else '.py' end),
+       s_suppkey * 512, 1706616000 - s_suppkey * 7200 from supplier
 """
 
-TABLES = ("orders", "events", "documents", "part", "pages")
+TABLES = ("orders", "events", "documents", "part", "pages", "supplier")
 
 
 def source_sql(engine: str) -> str:
@@ -43,11 +49,11 @@ def source_sql(engine: str) -> str:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue of a test folder; ctime equals mtime where a table has a time."""
+    """The catalogue of a test folder; ctime is some days before mtime where a table has a time."""
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"quarry_{t}")
     sql = source_sql("spark")
     for t in TABLES:
         sql = sql.replace(f"from {t}\n", f"from quarry_{t}\n")
-    records = spark.sql(sql).select("fid", F.concat(F.lit(ROOT + "/"), "rel").alias("abs_path"), "size", "mtime", F.col("mtime").alias("ctime"))
+    records = spark.sql(sql).select("fid", F.concat(F.lit(ROOT + "/"), "rel").alias("abs_path"), "size", "mtime", F.expr("greatest(mtime - fid % 9 * 86400, 0)").alias("ctime"))
     return build_catalog(records, ROOT)

@@ -25,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 FILES_CTE = f"""
 with src as ({source_sql("duckdb")}),
-named as (select fid, rel rel_path, concat('/data/', rel) abs_path, split_part(rel,'/',-1) "name", size, mtime, mtime ctime from src),
+named as (select fid, rel rel_path, concat('/data/', rel) abs_path, split_part(rel,'/',-1) "name", size, mtime, greatest(mtime - fid % 9 * 86400, 0) ctime from src),
 files as (select *,
   case when instr(substr(name,2),'.')=0 then '' else lower(split_part(name,'.',-1)) end ext,
   not starts_with(name,'.') visible,

@@ -14,7 +14,7 @@ import stat
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.filters import Excludes
+from ..operators.filters import DEFAULT_IGNORE, SYSTEM_SKIP, Excludes
 
 log = logging.getLogger(__name__)
 
@@ -82,7 +82,10 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.roots = [r for r in options["path"].split(os.pathsep) if r]
         self.split_depth = int(options.get("splitDepth", "2"))
-        self.ex = Excludes(options.get("ignore", "").splitlines(), options.get("exclude", "").splitlines(), options.get("trash", "").splitlines())
+        ignore, exclude = options.get("ignore", "").splitlines(), options.get("exclude", "").splitlines()
+        if options.get("defaults", "false").lower() == "true":
+            ignore, exclude = DEFAULT_IGNORE + ignore, SYSTEM_SKIP + exclude
+        self.ex = Excludes(ignore, exclude, options.get("trash", "").splitlines())
 
     def partitions(self):
         """Folders above splitDepth list only themselves; those at it take their subtree."""
@@ -109,6 +112,7 @@ class FileTreeSource(DataSource):
 
 
 def scan(spark: SparkSession, root: str, **options: str) -> DataFrame:
-    """Walk records below root. options: splitDepth, ignore, exclude, trash (lines)."""
+    """Walk records below root. options: splitDepth, ignore, exclude, trash (lines), defaults
+    ("true" puts the default ignore patterns and skipped roots in front)."""
     spark.dataSource.register(FileTreeSource)
     return spark.read.format("filetree").options(path=root, **options).load()

@@ -38,9 +38,11 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out.write(bytearray(text.encode()))
     out.hsync()
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(tmp, target)
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(tmp, target, options)  # one step: a reader finds the old file or the new one
 
 
 def write_catalog(files: DataFrame, path: str, root: str, now: int | None = None, trigrams: bool = True) -> str:
@@ -88,8 +90,8 @@ def open_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def open_or_build(spark: SparkSession, path: str, root: str, **scan_options: str) -> dict[str, DataFrame]:
-    """Open a current catalogue, or walk root and write one first."""
-    if check_catalog(spark, path) != "ok":
+    """Open a current catalogue of this root, or walk root and write one first."""
+    if check_catalog(spark, path, root) != "ok":
         from .fs import scan
 
         records = regular_files(scan(spark, root, **scan_options)).withColumn("fid", F.xxhash64("abs_path"))

@@ -124,6 +124,12 @@ def test_walk_store_history(spark, tmp_path):
     assert check_catalog(spark, path, "/data") == "ok" and check_catalog(spark, path, "/etc") == "root-mismatch"
     tables = open_catalog(spark, path)
     assert tables["files"].count() == 2 and [r.rel_path for r in tables["dirs"].collect()] == ["x"]
+    write_catalog(files(spark, ["/data/c.rs"]), path, "/data", now=6)
+    assert open_catalog(spark, path)["files"].count() == 1
+    (root / "build").mkdir()
+    (root / "build" / "x").write_text("")
+    walked = {r.name for r in scan(spark, str(root), defaults="true").collect()}
+    assert "build" in walked and "x" not in walked and "b.tar.GZ" in walked
     h = History(str(tmp_path / "h.ndjson"))
     h.append("one", 1, 2)
     with open(h.path, "a") as f:
