@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by learned partitions.
 
 A sample of the vectors (at most `sample` rows, by hash) gives a graph of nearest
-neighbours; it is cut into `parts` parts of about equal size with few edges between them.
-A small network learns the parts of a vector's neighbours from the vector alone. It puts
+neighbours; it is cut into parts of about equal size with few edges between them: one for
+PART_ROWS rows of the table, 32 at least, and one for 16 rows of the sample at most.
+A small network learns the parts of a vector's neighbours from the vector alone; an offset
+for each part, set on the sample, keeps the parts even for rows it has not seen. It puts
 every row into its most probable part, and sends a query to its `probes` most probable
 parts, where all cosines are computed. `probes` is the smallest number that finds
 `recall` of the neighbours in the sample itself, so it follows the data.
@@ -16,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .vectors import BLOCK_ROWS, finite, matrix, one_dimension, search_blocks, spread
+from .vectors import BLOCK_VALUES, finite, in_blocks, matrix, one_dimension, search_blocks
 
-SAMPLE, PARTS, NEIGHBOURS, RECALL = 8192, 32, 10, 0.97
+SAMPLE, PARTS, PART_ROWS, NEIGHBOURS, RECALL = 8192, 32, 1024, 10, 0.97
+#: Queries that are compared with a block at a time.
+QUERIES = 256
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -71,12 +75,13 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
 
 
 class Router:
-    """One hidden layer and a softmax over the parts."""
+    """One hidden layer and a softmax over the parts, then an offset for each part."""
 
     def __init__(self, x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int = 30, seed: int = 0):
         rng = np.random.default_rng(seed)
         d, p = x.shape[1], target.shape[1]
         self.w = [rng.standard_normal((d, hidden)) * np.sqrt(2 / d) * np.sqrt(d), np.zeros(hidden), rng.standard_normal((hidden, p)) * np.sqrt(1 / hidden), np.zeros(p)]
+        self.offset = np.zeros(p)
         m, v, t = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
@@ -97,7 +102,20 @@ class Router:
         return e / e.sum(axis=1, keepdims=True)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self._softmax(np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])
+        """Score of each part: log odds and offset."""
+        return np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3] + self.offset
+
+    def balance(self, x: np.ndarray, rounds: int = 200, step: float = 0.1) -> "Router":
+        """Set the offsets so that the parts of x are about even; those of the evenest round stay."""
+        score, p = self(x), len(self.offset)
+        offset, kept, least = np.zeros(p), np.zeros(p), len(x) + 1
+        for _ in range(rounds):
+            size = np.bincount((score + offset).argmax(axis=1), minlength=p)
+            if size.max() < least:
+                least, kept = size.max(), offset.copy()
+            offset -= step * np.log((size + 1) / (len(x) / p + 1))
+        self.offset += kept
+        return self
 
 
 def fit(x: np.ndarray, parts: int = PARTS, neighbours: int = NEIGHBOURS, recall: float = RECALL, k: int = 5) -> tuple[Router, int]:
@@ -113,13 +131,13 @@ def fit(x: np.ndarray, parts: int = PARTS, neighbours: int = NEIGHBOURS, recall:
     np.add.at(target, (np.repeat(np.arange(len(x)), neighbours), part[graph].ravel()), 1.0)
     target[np.arange(len(x)), part] += 1
     held = np.arange(len(x)) % 5 == 0  # tells how many probes a vector it has not seen needs
-    train = Router(x[~held], target[~held] / (neighbours + 1))
+    train = Router(x[~held], target[~held] / (neighbours + 1)).balance(x[~held])
     placed = train(x).argmax(axis=1)
     chance = train(x[held])
     near = neighbour_graph(x, k)[held]
     place = (-chance).argsort(axis=1).argsort(axis=1)[np.arange(len(chance))[:, None], placed[near]]
     probes = int(np.quantile(place, recall, method="higher")) + 1
-    return Router(x, target / (neighbours + 1)), min(probes, parts)
+    return Router(x, target / (neighbours + 1)).balance(x), min(probes, parts)
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,10 +146,9 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _nearest(k: int):
-    def call(rows: pa.Table, queries: pa.Table):
-        x, q = matrix(rows["v"], np.float64), matrix(queries["q"], np.float64)
-        ids, who = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        near = unit(q) @ unit(x).T
+    def call(built, who: np.ndarray, q: np.ndarray):
+        ids, x, directions = built
+        near = unit(q) @ directions.T
         near[who[:, None] == ids[None, :]] = -np.inf
         top = min(k, near.shape[1])
         least = np.partition(near, near.shape[1] - top, axis=1)[:, -top]
@@ -147,7 +164,7 @@ def _nearest(k: int):
     return call
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL, probes: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE, parts: int | None = None, recall: float = RECALL, probes: int | None = None, block_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of embeddings (vec_id, embedding) found
     for each row of queries (vec_id, embedding), other than the row of its own id.
 
@@ -168,9 +185,11 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, sample: int =
         return empty
     x = matrix(picked["v"], np.float64)
     asked = asked.filter(F.size("q") == x.shape[1])
+    if parts is None:
+        parts = 1 << max(PARTS, min(rows.count() // PART_ROWS, sample // 16)).bit_length() - 1
     router, own = fit(x, parts, recall=recall, k=k)
     shared = spark.sparkContext.broadcast(router)
-    n_parts = len(router.w[3])
+    n_parts = len(router.offset)
     probes = min(probes or own, n_parts)
 
     def place(batches):
@@ -194,11 +213,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, sample: int =
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(order[i, c].astype(np.int32))], ["query_id", "q", "part"])
 
     routed = asked.mapInArrow(route, "query_id bigint, q array<double>, part int")
-    blocks = F.element_at(F.array(*[F.lit(int(-(-s // block_rows)) or 1) for s in size]), F.col("part") + 1)
-    query_blocks = int(-(-asked.count() // block_rows)) or 1
-    left = spread(index, "rb", blocks, "vec_id", "qb", query_blocks)
-    right = spread(routed, "qb", query_blocks, "query_id", "rb", blocks)
-    return search_blocks(left, right, ["part", "rb", "qb"], _nearest(k), k, "double")
+    left, n = in_blocks(index, dict(enumerate(map(int, size))), block_rows or max(1, BLOCK_VALUES // x.shape[1]))
+    return search_blocks(left, routed, n, lambda ids, v: (ids, v, unit(v)), _nearest(k), k, "double", np.float64, QUERIES)
 
 
 def brute_force(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, k: int) -> dict[int, list[tuple[int, float]]]:

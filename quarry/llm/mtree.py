@@ -1,6 +1,9 @@
 """Exact top-k inner products by best-first search of M-trees.
 
-Vectors are integers. Each block of rows is bulk-loaded into an M-tree over the Euclidean
+Vectors are integers. The top page is one for the whole table: at most PAGE routing vectors
+from the sample, each row below the nearest; covering radii, largest norms and sizes come
+from one aggregation, and a query is sent only to those entries that it may need. Below it
+rows are dealt into blocks by hash, each bulk-loaded once into an M-tree over the Euclidean
 distance: pages of at most PAGE entries, where an entry keeps its routing vector (inner
 pages) or its row (leaves), its distance to the vector of its page, and inner ones the
 covering radius and the largest norm below them. With d >= |d(q, page) - d(entry, page)|
@@ -23,10 +26,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import BLOCK_ROWS, finite, kth_best, matrix, one_dimension, search_blocks, spread
+from .common import Scratch
+from .vectors import BLOCK_VALUES, finite, in_blocks, kth_best, matrix, one_dimension, search_blocks
 
 PAGE, SEEDS = 64, 1024
+#: Rows that are worth an entry of the top page; queries searched for at a time.
+ENTRY_ROWS, QUERIES = 1024, 1024
 MARGIN = 1e-6
+LOWEST = np.iinfo(np.int64).min + 1
+
+
+def spread_out(x: np.ndarray, want: int, first: int) -> tuple[list[int], np.ndarray]:
+    """(rows far from each other, number of the nearest of them for each row); fewer if rows are equal."""
+    chosen = [first]
+    near = ((x - x[first]) ** 2).sum(axis=1)
+    owner = np.zeros(len(x), np.int64)
+    for c in range(1, want):
+        far = int(near.argmax())
+        if near[far] == 0:
+            break
+        d = ((x - x[far]) ** 2).sum(axis=1)
+        owner[d < near] = c
+        near = np.minimum(near, d)
+        chosen.append(far)
+    return chosen, owner
+
+
+def upper_bounds(square: np.ndarray, product: np.ndarray, to: np.ndarray, radius: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Upper bound of the inner product of each query (its square, its products with and distances
+    to the routing vectors) with any row below each entry."""
+    gap = np.maximum(to - radius, 0)
+    upper = np.minimum((square[:, None] + norm - gap**2) / 2, product + np.sqrt(square)[:, None] * radius)
+    return upper + MARGIN * (1 + np.abs(upper))
+
+
+def distances(square: np.ndarray, product: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(square[:, None] + (pivots**2).sum(axis=1) - 2 * product, 0))
 
 
 class Page:
@@ -43,17 +78,7 @@ class Page:
             return
         # as many routing vectors as pages are needed, each far from those before it
         want = min(PAGE, -(-len(rows) // (PAGE // 2)))
-        chosen = [int(rng.integers(len(rows)))]
-        near = ((x[rows] - x[rows[chosen[0]]]) ** 2).sum(axis=1)
-        owner = np.zeros(len(rows), np.int64)
-        for c in range(1, want):
-            far = int(near.argmax())
-            if near[far] == 0:
-                break
-            d = ((x[rows] - x[rows[far]]) ** 2).sum(axis=1)
-            owner[d < near] = c
-            near = np.minimum(near, d)
-            chosen.append(far)
+        chosen, owner = spread_out(x[rows], want, int(rng.integers(len(rows))))
         if len(chosen) == 1:  # equal rows: pages by count
             owner = np.arange(len(rows)) * want // len(rows)
         groups = [rows[owner == c] for c in range(owner.max() + 1)]
@@ -69,8 +94,8 @@ class Page:
 class Tree:
     def __init__(self, ids: np.ndarray, x: np.ndarray, seed: int = 0):
         self.ids, self.x = ids, x.astype(np.float64)
-        self.exact = x
         self.square = (self.x**2).sum(axis=1)
+        self.exact = x
         self.root = Page(self.x, self.square, np.arange(len(ids)), self.x[0], np.random.default_rng(seed))
         self.computed = 0  # distances and products that no bound spared
 
@@ -80,7 +105,10 @@ class Tree:
         n = len(who)
         qf = q.astype(np.float64)
         square = (qf**2).sum(axis=1)
-        best = np.full((n, k), np.iinfo(np.int64).min)
+        # sums that stay below 2**52 are exact in doubles as well
+        small = np.sqrt(square.max(initial=0)) * np.sqrt(self.square.max()) < 2.0**52
+        left, right = (qf, self.x) if small else (q, self.exact)
+        best = np.full((n, k), LOWEST)
         owner = np.full((n, k), np.iinfo(np.int64).max)
         floor = floor.copy()
         start = np.sqrt(np.maximum(((qf - self.root.vector) ** 2).sum(axis=1), 0))
@@ -102,26 +130,24 @@ class Tree:
             self.computed += int(may[:, entries].sum())
             if not page.children:
                 rows = page.rows[entries]
-                score = q[live] @ self.exact[rows].T
+                score = left[live] @ right[rows].T
                 ok = may[:, entries] & (score >= floor[live][:, None]) & (who[live][:, None] != self.ids[rows][None, :])
                 some = np.flatnonzero(ok.any(axis=1))
                 if not len(some):
                     continue
                 at = live[some]
-                s = np.concatenate([best[at], np.where(ok[some], score[some], np.iinfo(np.int64).min)], axis=1)
+                s = np.concatenate([best[at], np.where(ok[some], score[some].astype(np.int64), LOWEST)], axis=1)
                 o = np.concatenate([owner[at], np.where(ok[some], self.ids[rows][None, :], np.iinfo(np.int64).max)], axis=1)
-                order = np.lexsort((o, -s.astype(np.float64)), axis=1)[:, :k]
+                order = np.lexsort((o, -s), axis=1)[:, :k]
                 best[at] = np.take_along_axis(s, order, axis=1)
                 owner[at] = np.take_along_axis(o, order, axis=1)
                 full = owner[at, k - 1] != np.iinfo(np.int64).max
-                floor[at[full]] = np.maximum(floor[at[full]], best[at[full], k - 1])
+                floor[at[full]] = np.maximum(floor[at[full]], np.nextafter(best[at[full], k - 1].astype(np.float64), -np.inf))
                 continue
             pivots = page.pivots[entries]
             product = qf[live] @ pivots.T
-            to = np.sqrt(np.maximum(square[live][:, None] + (pivots**2).sum(axis=1) - 2 * product, 0))
-            gap = np.maximum(to - page.radius[entries], 0)
-            upper = np.minimum((square[live][:, None] + page.norm[entries] - gap**2) / 2, product + np.sqrt(square[live])[:, None] * page.radius[entries])
-            upper += MARGIN * (1 + np.abs(upper))
+            to = distances(square[live], product, pivots)
+            upper = upper_bounds(square[live], product, to, page.radius[entries], page.norm[entries])
             upper[~may[:, entries]] = -np.inf
             for c, e in enumerate(entries):
                 down, where = np.full(n, -np.inf), np.zeros(n)
@@ -132,20 +158,22 @@ class Tree:
         return who[i], owner[i, c], best[i, c]
 
 
+def _floor(who: np.ndarray, q: np.ndarray, seeds, k: int) -> np.ndarray:
+    """A lower bound of each query's k-th best score, from the sampled rows."""
+    ids, rows = seeds
+    score = (q @ rows.T).astype(np.float64)
+    score[who[:, None] == ids[None, :]] = -np.inf
+    return np.nextafter(kth_best(score, k), -np.inf)
+
+
 def _top(k: int, seeds):
-    def call(rows: pa.Table, queries: pa.Table):
-        ids, who = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        q = matrix(queries["q"], np.int64)
-        seed_ids, seed_rows = seeds.value
-        score = (q @ seed_rows.T).astype(np.float64)
-        score[who[:, None] == seed_ids[None, :]] = -np.inf
-        floor = kth_best(score, k)
-        return Tree(ids, matrix(rows["v"], np.int64)).search(who, q, k, floor)
+    def call(tree: Tree, who: np.ndarray, q: np.ndarray):
+        return tree.search(who, q, k, _floor(who, q, seeds.value, k))
 
     return call
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, seeds: int = SEEDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, seeds: int = SEEDS, block_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of floor(scale * embedding) of
     each row of queries (vec_id, embedding) with the rows of embeddings, except its own.
 
@@ -166,10 +194,36 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, scale: int = 2
     start = matrix(picked["v"], np.int64)
     shared = spark.sparkContext.broadcast((picked["vec_id"].to_numpy(), start))
     asked = asked.filter(F.size("q") == start.shape[1])
-    row_blocks, query_blocks = (int(-(-df.count() // block_rows)) or 1 for df in (rows, asked))
-    left = spread(rows, "rb", row_blocks, "vec_id", "qb", query_blocks)
-    right = spread(asked, "qb", query_blocks, "query_id", "rb", row_blocks)
-    return search_blocks(left, right, ["rb", "qb"], _top(k, shared), k, "bigint")
+    want = max(1, min(PAGE, rows.count() // ENTRY_ROWS))
+    pivots = start[spread_out(start.astype(np.float64), want, 0)[0]].astype(np.float64)
+
+    def place(batches):
+        for b in batches:
+            x = matrix(b.column(1), np.float64).reshape(b.num_rows, pivots.shape[1])
+            square = (x**2).sum(axis=1)
+            part = distances(square, x @ pivots.T, pivots).argmin(axis=1)
+            away = np.sqrt(((x - pivots[part]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32)), pa.array(away), pa.array(square)], ["vec_id", "v", "part", "away", "square"])
+
+    index = Scratch(spark, "mtree").save(rows.mapInArrow(place, "vec_id bigint, v array<bigint>, part int, away double, square double"), "rows")
+    radius, norm, size = np.zeros(len(pivots)), np.full(len(pivots), -np.inf), {}
+    for r in index.groupBy("part").agg(F.max("away").alias("away"), F.max("square").alias("square"), F.count("*").alias("n")).collect():  # at most PAGE rows
+        radius[r.part], norm[r.part], size[r.part] = r.away, r.square, r.n
+
+    def route(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, QUERIES):
+                c = b.slice(i, QUERIES)
+                q = matrix(c.column(1), np.int64)
+                qf = q.astype(np.float64)
+                square, product = (qf**2).sum(axis=1), qf @ pivots.T
+                upper = upper_bounds(square, product, distances(square, product, pivots), radius, norm)
+                at, p = np.nonzero(upper >= _floor(c.column(0).to_numpy(), q, shared.value, k)[:, None])
+                yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(at)), c.column(1).take(pa.array(at)), pa.array(p.astype(np.int32))], ["query_id", "q", "part"])
+
+    routed = asked.mapInArrow(route, "query_id bigint, q array<bigint>, part int")
+    left, n = in_blocks(index.select("vec_id", "v", "part"), size, block_rows or max(1, BLOCK_VALUES // start.shape[1]))
+    return search_blocks(left, routed, n, Tree, _top(k, shared), k, "bigint", np.int64, QUERIES)
 
 
 SQL = """
