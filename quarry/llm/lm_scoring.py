@@ -12,17 +12,20 @@ model, N its tokens and V classes,
     p(w | v) = (c(v, w) + PRIOR p(w)) / (c(v) + PRIOR)
 A document is <s> w1 ... wn </s>; <s> is never predicted.
 
-Counts of all documents are summed by one shuffle of each task's distinct bigrams. For
-scoring, the most frequent bigrams (2**20 at most) are broadcast; other tokens meet the
-model by a shuffle, where no key is hot, as the hot ones are among those broadcast. A
-bigram that occurs once in the corpus, in no target text, needs no entry: its loss follows
-from class counts.
+A first pass sums class counts and the bigrams that are frequent in some HOLD tokens. The
+head, bigrams with at least 1 in HEAD of all tokens (so HEAD at most, at any size of the
+corpus, and every bigram beyond 2 in HEAD), is counted exactly by a second pass and
+broadcast. A third pass scores what is in the head at once and sends all other tokens, once,
+to buckets by bigram: the tokens of a bucket are all there are of its bigrams, so that they
+give the counts of both models and the losses in one place. No bucket gets a hot bigram.
+Tokens go as packed arrays, one for each bucket and HOLD tokens.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +36,12 @@ BITS = 18
 CLASSES = 1 << BITS
 BEGIN, END = 0, 1
 PRIOR = 16.0
-HEAD = 1 << 20
+HEAD = 1 << 18
 BLOCK = 1 << 20
-#: Tokens that a task counts at a time, and rows of the batches it sends.
-HOLD, CHUNK = 2 << 20, 1 << 16
+#: Tokens that a task holds at a time, and that a bucket has; rows of the batches it sends.
+HOLD, BUCKET, CHUNK = 2 << 20, 2 << 20, 1 << 16
+#: Bytes of a bigram's key (2 * BITS bits) and of a row's place that are packed.
+KEY_BYTES, ROW_BYTES = 5, 4
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -75,47 +80,102 @@ def bigrams(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.n
     return keys[inner[1:]], counts + 1
 
 
-def _counted(codes: list[np.ndarray]):
-    """Distinct keys with their counts as background and as target, of codes key << 1 | target."""
-    codes = np.concatenate(codes)
-    codes.sort()
-    edge = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(codes))
-    code, n = codes[edge[:-1]], np.diff(edge)
-    target = np.where(code & 1, n, 0)
-    code >>= 1
-    opens = np.append(True, code[1:] != code[:-1])
-    begin = np.flatnonzero(opens)
-    key, b, t = code[begin], np.add.reduceat(n, begin), np.add.reduceat(target, begin)
+def _runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def _frequent(held: list[np.ndarray], share: int):
+    """Bigrams with 1 in `share` of these tokens or more, and their counts."""
+    keys = np.sort(np.concatenate(held))
+    begin = _runs(keys)
+    n = np.diff(np.append(begin, len(keys)))
+    often = n * share >= len(keys)
+    key, n = keys[begin[often]], n[often]
     for i in range(0, len(key), CHUNK):
-        yield rows(["key", "b", "t"], key[i : i + CHUNK], b[i : i + CHUNK], t[i : i + CHUNK])
+        yield rows(["key", "b", "t"], key[i : i + CHUNK], n[i : i + CHUNK], np.zeros(len(n[i : i + CHUNK]), np.int64))
 
 
-def _count_rows(batches):
-    """(key, background, target) of a task's bigrams, and of classes of words as -1 - class."""
-    hasher = Hasher()
-    held, count = [], 0
-    one = np.zeros((2, CLASSES), np.int64)
-    for b in batches:
-        data, offsets = binary(b.column(0))
-        good = b.column(1).to_numpy(zero_copy_only=False)
-        for i, j in blocks(offsets, BLOCK):
-            keys, counts = bigrams(data, offsets[i : j + 1], hasher)
-            target = np.repeat(good[i:j], counts)
-            word = keys & (CLASSES - 1)
-            one[0] += np.bincount(word, minlength=CLASSES)
-            one[1] += np.bincount(word[target], minlength=CLASSES)
-            one[:, BEGIN] += j - i, int(good[i:j].sum())
-            held.append(keys << 1 | target)
-            count += len(keys)
-            if count > HOLD:
-                yield from _counted(held)
-                held, count = [], 0
-    if held:
-        yield from _counted(held)
-    used = np.flatnonzero(one[0])
-    for i in range(0, len(used), CHUNK):
-        u = used[i : i + CHUNK]
-        yield rows(["key", "b", "t"], -1 - u, one[0][u], one[1][u])
+def _count_rows(share: int, hold: int):
+    """(key, background, target): classes of words as -1 - class, exact; frequent bigrams of every
+    `hold` tokens, without a target count."""
+
+    def run(batches):
+        hasher = Hasher()
+        held, count = [], 0
+        one = np.zeros((2, CLASSES), np.int64)
+        for b in batches:
+            data, offsets = binary(b.column(0))
+            good = b.column(1).to_numpy(zero_copy_only=False)
+            for i, j in blocks(offsets, BLOCK):
+                keys, counts = bigrams(data, offsets[i : j + 1], hasher)
+                word = keys & (CLASSES - 1)
+                one[0] += np.bincount(word, minlength=CLASSES)
+                one[1] += np.bincount(word[np.repeat(good[i:j], counts)], minlength=CLASSES)
+                one[:, BEGIN] += j - i, int(good[i:j].sum())
+                held.append(keys)
+                count += len(keys)
+                if count > hold:
+                    yield from _frequent(held, share)
+                    held, count = [], 0
+        if held:
+            yield from _frequent(held, share)
+        used = np.flatnonzero(one[0])
+        for i in range(0, len(used), CHUNK):
+            u = used[i : i + CHUNK]
+            yield rows(["key", "b", "t"], -1 - u, one[0][u], one[1][u])
+
+    return run
+
+
+def _head_rows(head):
+    """(place in the head, background, target) of a task's tokens."""
+
+    def run(batches):
+        hasher, table = Hasher(), _table(head)
+        n = len(head.value[0])
+        sums = np.zeros((2, n), np.int64)
+        for b in batches:
+            data, offsets = binary(b.column(0))
+            good = b.column(1).to_numpy(zero_copy_only=False)
+            for i, j in blocks(offsets, BLOCK):
+                keys, counts = bigrams(data, offsets[i : j + 1], hasher)
+                found, place = table.find(keys)
+                place = place[found].astype(np.int64)
+                sums[0] += np.bincount(place, minlength=n)
+                sums[1] += np.bincount(place[np.repeat(good[i:j], counts)[found]], minlength=n)
+        used = np.flatnonzero(sums[0])
+        for i in range(0, len(used), CHUNK):
+            u = used[i : i + CHUNK]
+            yield rows(["place", "b", "t"], u, sums[0][u], sums[1][u])
+
+    return run
+
+
+def _planes(x: np.ndarray, n: int) -> bytes:
+    """The n low bytes of each value: all first bytes, then all second ones, and so on."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+
+
+def _unplanes(data: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = data.reshape(n, -1).T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def pack(key: np.ndarray, row: np.ndarray, good: np.ndarray) -> bytes:
+    """Tokens in order of their keys: steps between keys, rows, and bits that tell targets."""
+    return _planes(np.diff(key, prepend=0), KEY_BYTES) + _planes(row, ROW_BYTES) + np.packbits(good).tobytes()
+
+
+def unpack(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(blob, np.uint8)
+    a, b = n * KEY_BYTES, n * (KEY_BYTES + ROW_BYTES)
+    return np.cumsum(_unplanes(data[:a], KEY_BYTES)), _unplanes(data[a:b], ROW_BYTES), np.unpackbits(data[b:], count=n).astype(bool)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 class Table:
@@ -186,66 +246,99 @@ class Classes:
         return np.log(p[0] / p[1])
 
 
-def _model_rows(shared):
-    def run(batches):
-        classes = Classes(*shared.value)
-        for b in batches:
-            key, bg, tg = (b.column(i).to_numpy() for i in range(3))
-            yield rows(["key", "model"], key, classes.loss_difference(key, bg, tg))
+_SENT = ["bucket", "row", "doc_id", "d", "n", "blob"]
+_SUMS = ["row", "doc_id", "d", "n"]
 
-    return run
 
+def _score_rows(head, buckets: int, hold: int):
+    """Per document its number of tokens and the loss difference of those in the head; and all
+    other tokens, packed, n of them with rows from `row` on."""
 
-def _score_rows(shared, head):
-    """Per document its number of tokens and the sum over those in the head, under a key that no
-    bigram has; and every other token's key, without a loss."""
-    names = ["row", "doc_id", "key", "d", "n"]
+    def send(first, key, row, good):
+        key, row, good = map(np.concatenate, (key, row, good))
+        bucket = _bucket(key, buckets)
+        order = np.lexsort((key, bucket))
+        bucket, key, row, good = bucket[order], key[order], row[order] - first, good[order]
+        begin = _runs(bucket)
+        ends = np.append(begin[1:], len(bucket))
+        for s in range(0, len(begin), 1024):
+            some = list(zip(begin[s : s + 1024], ends[s : s + 1024]))
+            blob = pa.array([pack(key[i:j], row[i:j], good[i:j]) for i, j in some], pa.binary())
+            n = len(some)
+            yield rows(_SENT, bucket[begin[s : s + 1024]], np.full(n, first), pa.nulls(n, pa.int64()), np.zeros(n), np.array([j - i for i, j in some]), blob)
 
     def run(batches):
         hasher, table = Hasher(), _table(head)
+        held, count, first = ([], [], []), 0, 0
         for b in batches:
             row, doc = b.column(0).to_numpy(), b.column(1)
             data, offsets = binary(b.column(2))
+            good = b.column(3).to_numpy(zero_copy_only=False)
             for i, j in blocks(offsets, BLOCK):
                 keys, counts = bigrams(data, offsets[i : j + 1], hasher)
                 at = np.repeat(np.arange(j - i), counts)
                 found, loss = table.find(keys)
                 own = row[i:j]
-                yield rows(names, own, doc.slice(i, j - i), -1 - own, np.bincount(at, loss, j - i), counts)
+                yield rows(_SENT, own % buckets, own, doc.slice(i, j - i), np.bincount(at, loss, j - i), counts, pa.nulls(j - i, pa.binary()))
                 sent = np.flatnonzero(~found)
-                for s in range(0, len(sent), CHUNK):
-                    x = sent[s : s + CHUNK]
-                    none = (pa.nulls(len(x), kind) for kind in (pa.float64(), pa.int64()))
-                    yield rows(names, own[at[x]], pa.nulls(len(x), pa.int64()), keys[x], *none)
+                if not len(sent):
+                    continue
+                if not count:
+                    first = int(own[0])
+                for h, x in zip(held, (keys[sent], own[at[sent]], good[i:j][at[sent]])):
+                    h.append(x)
+                count += len(sent)
+                if count > hold:
+                    yield from send(first, *held)
+                    held, count = ([], [], []), 0
+        if count:
+            yield from send(first, *held)
 
     return run
 
 
 def _loss_rows(shared):
-    """(row, doc_id, key, d, n, model) to (row, doc_id, d, n), d being a sum over tokens: a key
-    without entry occurs once, in no target text."""
+    """Sums over tokens: (row, doc_id, d, n) of a document's head, with doc_id and all its tokens
+    counted, and of its tokens in each bucket. Rows come in order of buckets."""
+
+    def settle(classes, tokens):
+        key, row, good = (np.concatenate(x) for x in zip(*tokens))
+        order = np.argsort(key, kind="stable")
+        key, row, good = key[order], row[order], good[order]
+        begin = _runs(key)
+        n = np.diff(np.append(begin, len(key)))
+        loss = np.repeat(classes.loss_difference(key[begin], n, np.add.reduceat(good.astype(np.int64), begin)), n)
+        order = np.argsort(row, kind="stable")
+        row, loss = row[order], loss[order]
+        begin = _runs(row)
+        row, d = row[begin], np.add.reduceat(loss, begin)
+        for i in range(0, len(row), CHUNK):
+            m = len(row[i : i + CHUNK])
+            yield rows(_SUMS, row[i : i + CHUNK], pa.nulls(m, pa.int64()), d[i : i + CHUNK], np.zeros(m, np.int64))
 
     def run(batches):
-        classes = Classes(*shared.value)
+        classes, last, tokens = Classes(*shared.value), None, []
         for b in batches:
-            row, key = b.column(0).to_numpy(), b.column(2).to_numpy()
-            d, n, model = (b.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5))
-            own = b.column(4).is_valid().to_numpy(zero_copy_only=False)
-            loss = np.where(own, d, model)
-            alone = np.flatnonzero(~own & np.isnan(model))
-            loss[alone] = classes.loss_difference(key[alone], 1.0, 0.0)
-            yield rows(["row", "doc_id", "d", "n"], row[own], b.column(1).filter(pa.array(own)), loss[own], n[own].astype(np.int64))
-            sent = np.flatnonzero(~own)
-            sent = sent[np.argsort(row[sent], kind="stable")]
-            if len(sent):
-                at = row[sent]
-                begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                yield rows(["row", "doc_id", "d", "n"], at[begin], pa.nulls(len(begin), pa.int64()), np.add.reduceat(loss[sent], begin), np.zeros(len(begin), np.int64))
+            own = b.column(5).is_null()
+            whole = b.filter(own)
+            if whole.num_rows:
+                yield pa.RecordBatch.from_arrays([whole.column(c) for c in (1, 2, 3, 4)], _SUMS)
+            packed = b.filter(pc.invert(own))
+            bucket, first, n = (packed.column(c).to_numpy() for c in (0, 1, 4))
+            for i in range(packed.num_rows):
+                if bucket[i] != last and tokens:
+                    yield from settle(classes, tokens)
+                    tokens = []
+                last = bucket[i]
+                key, row, good = unpack(int(n[i]), packed.column(5)[i].as_py())
+                tokens.append((key, row + first[i], good))
+        if tokens:
+            yield from settle(classes, tokens)
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, head_share: int = HEAD, hold: int = HOLD, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_tokens (words and the end mark), score of each row of docs (doc_id, text).
 
     target_ids: doc_id of the target documents, of any number (see targets); they meet the
@@ -258,33 +351,31 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     scratch = Scratch(spark, "lm")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
-    # no hint: ids grow with the input, and rows without doc_id would all meet in one task
-    marked = base.filter("doc_id is not null").join(ids.withColumn("good", F.lit(True)), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    marked = marked.unionByName(base.filter("doc_id is null").select("text", F.lit(False).alias("good")))
-    parts = marked.mapInArrow(_count_rows, "key bigint, b bigint, t bigint")
-    summed = parts.groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-    counts = scratch.save(summed.filter("key < 0 or b > 1 or t > 0"), "counts")
-    del parts, summed
+    # always by shuffle: ids grow with the input; rows without doc_id would all meet in one task
+    marked = base.filter("doc_id is not null").hint("merge").join(ids.withColumn("good", F.lit(True)), "doc_id", "left")
+    marked = marked.select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = scratch.save(marked.unionByName(base.filter("doc_id is null").withColumn("good", F.lit(False))), "marked")
+    sweep(spark)
+    texts = marked.select("text", "good")
+    parts = texts.mapInArrow(_count_rows(head_share, hold), "key bigint, b bigint, t bigint")
+    counts = scratch.save(parts.groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "counts")
     one = np.zeros((2, CLASSES))
     got = counts.filter("key < 0").toArrow()  # at most 2**18 rows
     one[:, -1 - got["key"].to_numpy()] = got["b"].to_numpy(), got["t"].to_numpy()
     shared = spark.sparkContext.broadcast((one[0], one[1]))
-    pairs = counts.filter("key >= 0")
-    level = F.floor(F.log2("b") * 8).cast("int")
-    cut, room = 0, HEAD
-    for r in pairs.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 8 * 63 rows
-        room -= r["count"]
-        if room < 0:
-            cut = r.level + 1
-            break
-    got = pairs.filter(level >= cut).toArrow()  # at most HEAD rows
-    top = np.stack([got[c].to_numpy() for c in ("key", "b", "t")], axis=1)
-    head = spark.sparkContext.broadcast((top[:, 0].copy(), Classes(*one).loss_difference(top[:, 0], top[:, 1], top[:, 2])))
-    sweep(spark)
-    tail = pairs.filter(level < cut).mapInArrow(_model_rows(shared), "key bigint, model double")
-    tokens = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    tokens = tokens.mapInArrow(_score_rows(shared, head), "row bigint, doc_id bigint, key bigint, d double, n bigint")
-    met = tokens.hint("merge").join(tail, "key", "left").select("row", "doc_id", "key", "d", "n", "model")
+    tokens = int(one[0].sum() - one[0, BEGIN])
+    got = counts.filter((F.col("key") >= 0) & (F.col("b") * head_share >= tokens)).select("key").toArrow()  # at most head_share rows
+    keys = np.sort(got["key"].to_numpy()).astype(np.int64)
+    places = spark.sparkContext.broadcast((keys, np.arange(len(keys), dtype=np.float64)))
+    sums = np.zeros((2, len(keys)))
+    exact = texts.mapInArrow(_head_rows(places), "place bigint, b bigint, t bigint").groupBy("place").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).toArrow()
+    sums[:, exact["place"].to_numpy()] = exact["b"].to_numpy(), exact["t"].to_numpy()
+    head = spark.sparkContext.broadcast((keys, Classes(*one).loss_difference(keys, sums[0], sums[1])))
+    scratch.drop("counts")
+    buckets = -(-tokens // bucket) or 1
+    rest = marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "good")
+    rest = rest.mapInArrow(_score_rows(head, buckets, hold), "bucket bigint, row bigint, doc_id bigint, d double, n bigint, blob binary")
+    met = rest.repartition("bucket").sortWithinPartitions("bucket")
     met = met.mapInArrow(_loss_rows(shared), "row bigint, doc_id bigint, d double, n bigint")
     sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("d").alias("d"))
     return sums.select("doc_id", "n_tokens", (F.col("d") / F.col("n_tokens")).alias("score"))
