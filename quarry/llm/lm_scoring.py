@@ -18,7 +18,8 @@ corpus, and every bigram beyond 2 in HEAD), is counted exactly by a second pass
 broadcast. A third pass scores what is in the head at once and sends all other tokens, once,
 to buckets by bigram: the tokens of a bucket are all there are of its bigrams, so that they
 give the counts of both models and the losses in one place. No bucket gets a hot bigram.
-Tokens go as packed arrays, one for each bucket and HOLD tokens.
+Tokens go as packed arrays, one for each bucket and HOLD tokens, and sums over the tokens of
+each document come back as one packed array for each, to where the HOLD tokens are together.
 """
 
 from __future__ import annotations
@@ -246,13 +247,23 @@ class Classes:
         return np.log(p[0] / p[1])
 
 
-_SENT = ["bucket", "row", "doc_id", "d", "n", "blob"]
-_SUMS = ["row", "doc_id", "d", "n"]
+def pack_sums(row: np.ndarray, d: np.ndarray) -> bytes:
+    return _planes(row, ROW_BYTES) + d.astype("<f8").tobytes()
+
+
+def unpack_sums(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(blob, np.uint8)
+    return _unplanes(data[: n * ROW_BYTES], ROW_BYTES), np.frombuffer(blob, "<f8", n, n * ROW_BYTES)
+
+
+_SENT = ["bucket", "first", "row", "doc_id", "d", "n", "blob"]
+_BACK = _SENT[1:]
 
 
 def _score_rows(head, buckets: int, hold: int):
     """Per document its number of tokens and the loss difference of those in the head; and all
-    other tokens, packed, n of them with rows from `row` on."""
+    other tokens, packed, n of them. `first` is the first row of those held together, from
+    which packed rows count."""
 
     def send(first, key, row, good):
         key, row, good = map(np.concatenate, (key, row, good))
@@ -264,8 +275,8 @@ def _score_rows(head, buckets: int, hold: int):
         for s in range(0, len(begin), 1024):
             some = list(zip(begin[s : s + 1024], ends[s : s + 1024]))
             blob = pa.array([pack(key[i:j], row[i:j], good[i:j]) for i, j in some], pa.binary())
-            n = len(some)
-            yield rows(_SENT, bucket[begin[s : s + 1024]], np.full(n, first), pa.nulls(n, pa.int64()), np.zeros(n), np.array([j - i for i, j in some]), blob)
+            n, none = len(some), pa.nulls(len(some), pa.int64())
+            yield rows(_SENT, bucket[begin[s : s + 1024]], np.full(n, first), none, none, np.zeros(n), np.array([j - i for i, j in some]), blob)
 
     def run(batches):
         hasher, table = Hasher(), _table(head)
@@ -279,15 +290,13 @@ def _score_rows(head, buckets: int, hold: int):
                 at = np.repeat(np.arange(j - i), counts)
                 found, loss = table.find(keys)
                 own = row[i:j]
-                yield rows(_SENT, own % buckets, own, doc.slice(i, j - i), np.bincount(at, loss, j - i), counts, pa.nulls(j - i, pa.binary()))
-                sent = np.flatnonzero(~found)
-                if not len(sent):
-                    continue
                 if not count:
                     first = int(own[0])
+                yield rows(_SENT, own % buckets, np.full(j - i, first), own, doc.slice(i, j - i), np.bincount(at, loss, j - i), counts, pa.nulls(j - i, pa.binary()))
+                sent = np.flatnonzero(~found)
                 for h, x in zip(held, (keys[sent], own[at[sent]], good[i:j][at[sent]])):
                     h.append(x)
-                count += len(sent)
+                count += len(sent) + j - i
                 if count > hold:
                     yield from send(first, *held)
                     held, count = ([], [], []), 0
@@ -298,46 +307,85 @@ def _score_rows(head, buckets: int, hold: int):
 
 
 def _loss_rows(shared):
-    """Sums over tokens: (row, doc_id, d, n) of a document's head, with doc_id and all its tokens
-    counted, and of its tokens in each bucket. Rows come in order of buckets."""
+    """In place of the tokens of each packed array, sums of their losses by row. Rows come in order
+    of buckets; documents' own pass."""
 
-    def settle(classes, tokens):
+    def settle(classes, first, tokens):
         key, row, good = (np.concatenate(x) for x in zip(*tokens))
         order = np.argsort(key, kind="stable")
-        key, row, good = key[order], row[order], good[order]
+        key, good = key[order], good[order]
         begin = _runs(key)
         n = np.diff(np.append(begin, len(key)))
-        loss = np.repeat(classes.loss_difference(key[begin], n, np.add.reduceat(good.astype(np.int64), begin)), n)
+        loss = np.zeros(len(key))
+        loss[order] = np.repeat(classes.loss_difference(key[begin], n, np.add.reduceat(good.astype(np.int64), begin)), n)
+        row |= np.repeat(np.arange(len(tokens)), [len(t[0]) for t in tokens]) << 8 * ROW_BYTES
         order = np.argsort(row, kind="stable")
-        row, loss = row[order], loss[order]
+        row = row[order]
         begin = _runs(row)
-        row, d = row[begin], np.add.reduceat(loss, begin)
-        for i in range(0, len(row), CHUNK):
-            m = len(row[i : i + CHUNK])
-            yield rows(_SUMS, row[i : i + CHUNK], pa.nulls(m, pa.int64()), d[i : i + CHUNK], np.zeros(m, np.int64))
+        d, row = np.add.reduceat(loss[order], begin), row[begin]
+        edge = np.searchsorted(row, np.arange(len(tokens) + 1) << 8 * ROW_BYTES)
+        row &= (1 << 8 * ROW_BYTES) - 1
+        blob = pa.array([pack_sums(row[i:j], d[i:j]) for i, j in zip(edge, edge[1:])], pa.binary())
+        m, none = len(tokens), pa.nulls(len(tokens), pa.int64())
+        yield rows(_BACK, np.array(first), none, none, np.zeros(m), np.diff(edge), blob)
 
     def run(batches):
-        classes, last, tokens = Classes(*shared.value), None, []
+        classes, last, first, tokens = Classes(*shared.value), None, [], []
         for b in batches:
-            own = b.column(5).is_null()
+            own = b.column(6).is_null()
             whole = b.filter(own)
             if whole.num_rows:
-                yield pa.RecordBatch.from_arrays([whole.column(c) for c in (1, 2, 3, 4)], _SUMS)
+                yield pa.RecordBatch.from_arrays(whole.columns[1:], _BACK)
             packed = b.filter(pc.invert(own))
-            bucket, first, n = (packed.column(c).to_numpy() for c in (0, 1, 4))
+            bucket, chunk, n = (packed.column(c).to_numpy() for c in (0, 1, 5))
             for i in range(packed.num_rows):
                 if bucket[i] != last and tokens:
-                    yield from settle(classes, tokens)
-                    tokens = []
+                    yield from settle(classes, first, tokens)
+                    first, tokens = [], []
                 last = bucket[i]
-                key, row, good = unpack(int(n[i]), packed.column(5)[i].as_py())
-                tokens.append((key, row + first[i], good))
+                tokens.append(unpack(int(n[i]), packed.column(6)[i].as_py()))
+                first.append(int(chunk[i]))
         if tokens:
-            yield from settle(classes, tokens)
+            yield from settle(classes, first, tokens)
 
     return run
 
 
+def _sum_rows(batches):
+    """(doc_id, n_tokens, score) of each document, from rows in order of `first`."""
+    names = ["doc_id", "n_tokens", "score"]
+
+    def settle(first, own, packed):
+        own = pa.Table.from_batches(own)
+        row = own["row"].to_numpy()
+        total = np.zeros(int(row.max()) - first + 1)
+        for n, blob in packed:
+            at, d = unpack_sums(n, blob)
+            total[at] += d
+        n = own["n"].to_numpy()
+        doc, score = own["doc_id"].combine_chunks(), (own["d"].to_numpy() + total[row - first]) / n
+        for i in range(0, len(n), CHUNK):
+            yield rows(names, doc.slice(i, CHUNK), n[i : i + CHUNK], score[i : i + CHUNK])
+
+    last, own, packed = None, [], []
+    for b in batches:
+        chunk = b.column(0).to_numpy()
+        edge = _runs(chunk)
+        for i, j in zip(edge, np.append(edge[1:], len(chunk))):
+            if chunk[i] != last and own:
+                yield from settle(last, own, packed)
+                own, packed = [], []
+            last = int(chunk[i])
+            part = b.slice(i, j - i)
+            whole = part.column(5).is_null()
+            if (x := part.filter(whole)).num_rows:
+                own.append(x.select(["row", "doc_id", "d", "n"]))
+            part = part.filter(pc.invert(whole))
+            packed += zip(part.column(4).to_pylist(), part.column(5).to_pylist())
+    if own:
+        yield from settle(last, own, packed)
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, head_share: int = HEAD, hold: int = HOLD, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_tokens (words and the end mark), score of each row of docs (doc_id, text).
 
@@ -374,11 +422,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, head_share:
     scratch.drop("counts")
     buckets = -(-tokens // bucket) or 1
     rest = marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "good")
-    rest = rest.mapInArrow(_score_rows(head, buckets, hold), "bucket bigint, row bigint, doc_id bigint, d double, n bigint, blob binary")
+    rest = rest.mapInArrow(_score_rows(head, buckets, hold), "bucket bigint, first bigint, row bigint, doc_id bigint, d double, n bigint, blob binary")
     met = rest.repartition("bucket").sortWithinPartitions("bucket")
-    met = met.mapInArrow(_loss_rows(shared), "row bigint, doc_id bigint, d double, n bigint")
-    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("d").alias("d"))
-    return sums.select("doc_id", "n_tokens", (F.col("d") / F.col("n_tokens")).alias("score"))
+    met = met.mapInArrow(_loss_rows(shared), "first bigint, row bigint, doc_id bigint, d double, n bigint, blob binary")
+    return met.repartition("first").sortWithinPartitions("first").mapInArrow(_sum_rows, "doc_id bigint, n_tokens bigint, score double")
 
 
 def targets(labels: DataFrame) -> DataFrame:
