@@ -49,6 +49,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
         atexit.register(self._delete, self.path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -56,11 +57,23 @@ class Scratch:
         sweep(self.spark, SWEEP_SECONDS)
         return self.load(name, df.schema)
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Written in as many buckets by key as a shuffle has partitions: joins on the key, however
+        many, do not shuffle it again."""
+        buckets, table = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"quarry_{uuid.uuid4().hex}"
+        writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+        writer.option("path", f"{self.path}/{name}").saveAsTable(table)
+        self.tables[name] = table
+        sweep(self.spark, SWEEP_SECONDS)
+        return self.spark.table(table)
+
     def load(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
+        if name in self.tables:
+            self.spark.sql(f"drop table if exists {self.tables.pop(name)}")
         self._delete(f"{self.path}/{name}")
 
     def _delete(self, path: str) -> None:

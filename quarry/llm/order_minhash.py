@@ -511,8 +511,8 @@ def _members(docs: DataFrame, scratch: Scratch, k: int, sketches: int, similarit
     pairs = scratch.save(met.filter("b is not null").groupBy("a", "b").agg(F.max("late").alias("late"), F.count("*").alias("m")), "pairs")
     large = met.filter("b is null")
     nodes = scratch.save(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).union(large.select("a")).distinct(), "nodes")
-    # by shuffle at every size: what meets the words grows with the input
-    words = scratch.save(texts.select(F.col("row").alias("nid"), "words").join(nodes, "nid", "left_semi"), "words").hint("merge")
+    # in buckets, as three joins meet the words; never broadcast: what meets them grows with the input
+    words = scratch.save_bucketed(texts.select(F.col("row").alias("nid"), "words").join(nodes, "nid", "left_semi"), "words", "nid").hint("merge")
     # a copy that was settled beside its bucket is a node of its own: it is linked unseen
     same = slim.filter("row <> nid").join(nodes.select(F.col("nid").alias("row")), "row", "left_semi").select(F.col("nid").alias("a"), F.col("row").alias("b"))
     scratch.drop("texts")
