@@ -57,11 +57,13 @@ class Scratch:
         sweep(self.spark, SWEEP_SECONDS)
         return self.load(name, df.schema)
 
-    def save_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """Written in as many buckets by key as a shuffle has partitions: joins on the key, however
-        many, do not shuffle it again."""
+    def save_bucketed(self, df: DataFrame, only: DataFrame, name: str, key: str) -> DataFrame:
+        """Rows of df whose key is in `only` (distinct keys), written in as many buckets by key as a
+        shuffle has partitions: joins on the key, however many, do not shuffle them again. At
+        every size df is shuffled once, straight to its buckets."""
         buckets, table = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"quarry_{uuid.uuid4().hex}"
-        writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+        some = df.repartition(buckets, key).join(only.select(key).repartition(buckets, key).hint("merge"), key)
+        writer = some.write.format("parquet").bucketBy(buckets, key).sortBy(key)
         writer.option("path", f"{self.path}/{name}").saveAsTable(table)
         self.tables[name] = table
         sweep(self.spark, SWEEP_SECONDS)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary, blocks, free_names, mix, ragged, rows, slices
+from .common import Scratch, binary, blocks, free_names, mix, ragged, rows, slices, sweep
 from .components import components
 from .lm_scoring import _BLANK
 from .suffix_dedup import Hasher
@@ -512,7 +512,8 @@ def _members(docs: DataFrame, scratch: Scratch, k: int, sketches: int, similarit
     large = met.filter("b is null")
     nodes = scratch.save(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).union(large.select("a")).distinct(), "nodes")
     # in buckets, as three joins meet the words; never broadcast: what meets them grows with the input
-    words = scratch.save_bucketed(texts.select(F.col("row").alias("nid"), "words").join(nodes, "nid", "left_semi"), "words", "nid").hint("merge")
+    sweep(docs.sparkSession)
+    words = scratch.save_bucketed(texts.select(F.col("row").alias("nid"), "words"), nodes, "words", "nid").hint("merge")
     # a copy that was settled beside its bucket is a node of its own: it is linked unseen
     same = slim.filter("row <> nid").join(nodes.select(F.col("nid").alias("row")), "row", "left_semi").select(F.col("nid").alias("a"), F.col("row").alias("b"))
     scratch.drop("texts")
