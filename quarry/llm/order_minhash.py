@@ -42,6 +42,8 @@ MEMBERS = 1024
 #: All pairs of buckets up to this size are candidates.
 COVERED = 4
 CELL = 1024
+#: Words that one matrix product covers.
+COLUMNS = 2048
 #: Texts whose keys a task holds at a time, and how many of them may share a key before it is settled there.
 HOLD, LOCAL = 1 << 13, 64
 BLOCK = 1 << 20
@@ -338,11 +340,16 @@ def common_words(texts: list[np.ndarray], dense: int = 32) -> np.ndarray:
     word, text = word[turn], text[turn]
     held = np.bincount(word)
     often = held > dense
-    table = np.zeros((m, int(often.sum())), np.float32)
     column = np.cumsum(often) - 1
     some = often[word]
-    table[text[some], column[word[some]]] = 1
-    out = (table @ table.T).astype(np.int32).ravel()
+    out = np.zeros((m, m), np.float32)
+    row, col = text[some], column[word[some]]  # in order of col
+    for lo in range(0, int(often.sum()), COLUMNS):
+        i, j = np.searchsorted(col, [lo, lo + COLUMNS])
+        table = np.zeros((m, int(col[j - 1]) - lo + 1), np.float32)
+        table[row[i:j], col[i:j] - lo] = 1
+        out += table @ table.T
+    out = out.astype(np.int32).ravel()
     text, word = text[~some], word[~some]
     last = np.cumsum(held * ~often)[word]
     for back in range(1, dense):  # pairs of the rows of one word, by their distance
@@ -362,7 +369,7 @@ def _cell_links(left, right, similarity):
     if len(np.unique(label)) < 2:
         return nid[:0], nid[:0]
     longer = np.maximum(n[:top, None], n[None, :])
-    most = np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
+    most = np.floor((1 - similarity) * longer + 1e-9).astype(np.int32)
     ok = (label[:top, None] != label[None, :]) & (longer - np.minimum(n[:top, None], n[None, :]) <= most)
     ok &= np.arange(len(n))[None, :] > (np.arange(top)[:, None] if right is None else top - 1)
     if ok.any():
@@ -391,7 +398,7 @@ def _cell_rows(similarity: float):
         lead, i, j, salt, nid, label = (np.concatenate([h[c] for h in held]) for c in range(6))
         words = np.empty(len(nid), object)
         words[:] = [w for h in held for w in h[6]]
-        n = np.array([len(w) for w in words])
+        n = np.array([len(w) for w in words], np.int32)
         parts = [[x[salt == s] for x in (nid, label, n, words)] for s in ((i[0],) if i[0] == j[0] else (i[0], j[0]))]
         return rows(["a", "b"], *_cell_links(parts[0], parts[1] if len(parts) > 1 else None, similarity))
 

@@ -25,8 +25,10 @@ def test_banded_distance(a, b, most):
     assert banded_distance(np.array(a, np.uint32), np.array(b, np.uint32), most) == min(want, most + 1)
 
 
+@pytest.mark.parametrize("columns", [2, 2048])
 @pytest.mark.parametrize("dense", [1, 3, 100])
-def test_common_words(dense):
+def test_common_words(dense, columns, monkeypatch):
+    monkeypatch.setattr("quarry.llm.order_minhash.COLUMNS", columns)
     r = np.random.default_rng(dense)
     texts = [r.integers(0, r.integers(2, 60), r.integers(0, 40)).astype(np.uint32) for _ in range(30)]
     got = common_words(texts, dense)
