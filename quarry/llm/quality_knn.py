@@ -13,6 +13,8 @@ model learns from nothing else and every document is scored on its whole text.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ TERMS = CLASSES + GAPS * LENGTHS
 BLOCK = 1 << 20
 K, AXES, PER_LABEL = 25, 96, 3000
 SHARPNESS = 4
+#: Rows of the labelled sample that the driver holds with all TERMS at once.
+SAMPLE_ROWS = 256
 
 
 def held_out(doc_id):
@@ -64,36 +68,85 @@ def term_counts(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> np.nda
     return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; those without a length stay 0."""
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1)
+
+
+class Counts:
+    """Counts (documents x TERMS) of which only those above 0 are held."""
+
+    def __init__(self, offsets: np.ndarray, terms: np.ndarray, values: np.ndarray):
+        self.offsets, self.terms, self.values = offsets, terms, values
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def take(self, order: np.ndarray) -> Counts:
+        out = Counts(np.append(0, np.cumsum(np.diff(self.offsets)[order])), np.empty_like(self.terms), np.empty_like(self.values))
+        for i, x in enumerate(order):
+            new, old = slice(*out.offsets[i : i + 2]), slice(*self.offsets[x : x + 2])
+            out.terms[new], out.values[new] = self.terms[old], self.values[old]
+        return out
+
+    def dense(self, step: int = SAMPLE_ROWS):
+        """(rows as a slice, their places in terms and values, row and term of each, all counts)."""
+        for i in range(0, len(self), step):
+            own = self.offsets[i : i + step + 1]
+            place = slice(own[0], own[-1])
+            row, term = np.repeat(np.arange(len(own) - 1), np.diff(own)), self.terms[place]
+            x = np.zeros((len(own) - 1, TERMS), np.float32)
+            x[row, term] = self.values[place]
+            yield slice(i, i + step), place, (row, term), x
+
+    def times(self, y: np.ndarray) -> np.ndarray:
+        """This matrix by y."""
+        out = np.empty((len(self), y.shape[1]), np.float32)
+        for at, _, _, x in self.dense():
+            out[at] = x @ y
+        return out
+
+    def turned_times(self, y: np.ndarray) -> np.ndarray:
+        """This matrix, transposed, by y."""
+        out = np.zeros((TERMS, y.shape[1]), np.float32)
+        for at, _, _, x in self.dense():
+            out += x.T @ y[at]
+        return out
+
+
 class Model:
-    """Term weights, axes and labelled vectors."""
+    """Term weights, axes and labelled vectors. Beside the sample itself, fitting holds
+    SAMPLE_ROWS rows of all terms at a time, so that a driver's memory has a bound."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, axes: int = AXES, seed: int = 0):
+    def __init__(self, counts: Counts, labels: np.ndarray, axes: int = AXES, seed: int = 0):
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        seen = (counts > 0).sum(axis=0)
+        seen = np.zeros(TERMS, np.int64)
+        for _, _, _, x in counts.dense():
+            seen += (x > 0).sum(axis=0)
         self.rarity = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + 0.1
-        x = self.weigh(counts)
+        weight = np.empty(len(counts.values), np.float32)
+        for _, place, cell, x in counts.dense():
+            weight[place] = self.weigh(x)[cell]
+        sample = Counts(counts.offsets, counts.terms, weight)
         rng = np.random.default_rng(seed)
-        axes = min(axes, *x.shape) if len(x) else 0
-        probe = x @ rng.standard_normal((x.shape[1], min(axes + 16, len(x)))).astype(np.float32)
+        axes = min(axes, len(sample), TERMS)
+        probe = sample.times(rng.standard_normal((TERMS, min(axes + 16, len(sample)))).astype(np.float32))
         for _ in range(3):  # power iterations towards the leading axes
-            probe = x @ (x.T @ np.linalg.qr(probe)[0]) if axes else probe
+            probe = sample.times(sample.turned_times(np.linalg.qr(probe)[0])) if axes else probe
         if axes:
             basis = np.linalg.qr(probe)[0]
-            self.axes = np.ascontiguousarray(np.linalg.svd(basis.T @ x, full_matrices=False)[2][:axes].T)
+            self.axes = np.ascontiguousarray(np.linalg.svd(sample.turned_times(basis).T, full_matrices=False)[2][:axes].T)
         else:
-            self.axes = np.zeros((x.shape[1], 1), np.float32)
-        self.vectors = self.project(x)
+            self.axes = np.zeros((TERMS, 1), np.float32)
+        self.vectors = unit(sample.times(self.axes))
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.rarity
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm > 0, norm, 1)
+        return unit(np.log1p(counts) * self.rarity)
 
     def project(self, weighed: np.ndarray) -> np.ndarray:
-        v = weighed @ self.axes
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return v / np.where(norm > 0, norm, 1)
+        return unit(weighed @ self.axes)
 
     def score(self, counts: np.ndarray, k: int = K, block: int = 256) -> np.ndarray:
         """Weighted share of label 1 among the k nearest labelled vectors; equally near ones
@@ -142,12 +195,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, axes: in
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
     got = texts.mapInArrow(_sample_rows, "quality int, terms binary, counts binary").toArrow()  # at most 2 * per_label documents
-    counts = np.zeros((got.num_rows, TERMS), np.float32)
-    for i, (t, c) in enumerate(zip(got["terms"].to_pylist(), got["counts"].to_pylist())):
-        counts[i, np.frombuffer(t, np.uint16)] = np.frombuffer(c, np.float32)
+    if not got.num_rows:
+        return Model(Counts(np.zeros(1, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.float32)), np.zeros(0), axes)
+    (term, at), (count, end) = binary(got["terms"]), binary(got["counts"])
     label = got["quality"].to_numpy()
-    turn = np.lexsort((counts @ np.cos(np.arange(TERMS, dtype=np.float32)), label))  # the same order in every run
-    return Model(counts[turn], label[turn], axes)
+    key = [hashlib.md5(term[at[i] : at[i + 1]].tobytes() + count[end[i] : end[i + 1]].tobytes()).digest() for i in range(len(label))]
+    turn = np.array(sorted(range(len(label)), key=lambda i: (label[i], key[i])))  # the same order in every run
+    counts = Counts(at // 2, term[: at[-1]].view(np.uint16), count[: end[-1]].view(np.float32))
+    return Model(counts.take(turn), label[turn], axes)
 
 
 def score(docs: DataFrame, labels: DataFrame, k: int = K, per_label: int = PER_LABEL, columns: list[str] = ()) -> DataFrame:

@@ -1,5 +1,8 @@
 """Learned partitions against brute force, and quality votes on labels that were held out."""
 
+import random
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -92,3 +95,17 @@ def test_clashing_columns(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
     assert quality_knn.score(docs, labels, columns=docs.columns).columns == ["doc_id", "held_out", "score", "predicted", "doc_id_", "text", "score_", "predicted_", "held_out_"]
     assert sorted(map(tuple, quality_knn.accepted(docs, labels).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
+def test_driver_holds_no_dense_sample(spark):
+    """Fitting takes less of the driver's memory than one table of the labelled sample's counts would."""
+    r = random.Random(3)
+    n, words = 3000, ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=30))) for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, quality int")
+    tracemalloc.start()
+    model = quality_knn.fit(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.vectors) > n / 2
+    assert most < len(model.vectors) * quality_knn.TERMS * np.dtype(np.float32).itemsize
