@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary, blocks, free_names, mix, ragged, rows, slices, sweep
+from .common import Scratch, binary, blocks, free_names, frugal, mix, ragged, rows, slices, sweep
 from .components import components
 from .lm_scoring import _BLANK
 from .suffix_dedup import Hasher
@@ -139,7 +139,7 @@ def _text_rows(k: int, sketches: int, similarity: float):
                 ends = [np.cumsum(c) * x.itemsize for c, x in zip((counts, found, found), lists)]
                 yield rows(names, *(b.column(c).slice(i, j - i) for c in names[:3]), counts.astype(np.int32), *(slices(x, np.append(0, e)[:-1], int(e[-1])) for x, e in zip(lists, ends)))
 
-    return run
+    return frugal(run)
 
 
 def _allowed(n, p, n2, p2, similarity):
@@ -195,7 +195,7 @@ def _deal_rows(similarity: float, hold: int = HOLD, local: int = LOCAL):
         if held:
             yield from settle(held)
 
-    return run
+    return frugal(run)
 
 
 def _bucket_rows(similarity: float):
@@ -262,7 +262,7 @@ def _bucket_rows(similarity: float):
             seen, large_before = int(rank[-1]) + 1, bool(large[-1])
             carry = [x[tail : tail + COVERED] for x in (key, d, nid, n, p, hot)]
 
-    return run
+    return frugal(run)
 
 
 def _unequal_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -422,7 +422,7 @@ def _cell_rows(similarity: float):
         if held:
             yield settle(held)
 
-    return run
+    return frugal(run)
 
 
 def _verify_rows(similarity: float):
@@ -443,7 +443,7 @@ def _verify_rows(similarity: float):
                     good[i] = similar(mine, words, similarity)
             yield rows(["a", "b"], a[good], b[good])
 
-    return run
+    return frugal(run)
 
 
 def _links(pairs: DataFrame, words: DataFrame, scratch: Scratch, name: str, similarity: float) -> DataFrame:

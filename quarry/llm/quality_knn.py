@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, free_names, rows
+from .common import binary, blocks, free_names, frugal, rows
 from .lm_scoring import _BLANK
 from .suffix_dedup import Hasher
 
@@ -28,10 +28,10 @@ CLASSES = 4096
 #: Bins of the distance to the last occurrence of a word (the last one: none), and of word lengths.
 GAPS, LENGTHS = 16, 16
 TERMS = CLASSES + GAPS * LENGTHS
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 K, AXES, PER_LABEL = 25, 96, 3000
 SHARPNESS = 4
-#: Rows of the labelled sample that the driver holds with all TERMS at once.
+#: Rows that are held with all TERMS at once, whatever their length.
 SAMPLE_ROWS = 256
 
 
@@ -168,13 +168,14 @@ class Model:
         return np.clip(out, 0, 1)
 
 
+@frugal
 def _sample_rows(batches):
     """Sparse counts of the labelled texts."""
     hasher = Hasher()
     for b in batches:
         quality = b.column(0)
         data, offsets = binary(b.column(1))
-        for i, j in blocks(offsets, BLOCK):
+        for i, j in blocks(offsets, BLOCK, SAMPLE_ROWS):
             counts = term_counts(data, offsets[i : j + 1], hasher)
             terms = [np.flatnonzero(c) for c in counts]
             yield rows(
@@ -225,13 +226,13 @@ def score(docs: DataFrame, labels: DataFrame, k: int = K, per_label: int = PER_L
         for b in batches:
             last = b.num_columns - 1
             data, offsets = binary(b.column(last))
-            for i, j in blocks(offsets, BLOCK):
+            for i, j in blocks(offsets, BLOCK, SAMPLE_ROWS):
                 s = model.value.score(term_counts(data, offsets[i : j + 1], hasher), k)
                 head = [b.column(c).slice(i, j - i) for c in range(last)]
                 yield pa.RecordBatch.from_arrays([*head, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names[:last], "score", "predicted"])
 
     own = ["doc_id", "held_out", "score", "predicted"]
-    out = source.mapInArrow(run, kinds + "score double, predicted int")
+    out = source.mapInArrow(frugal(run), kinds + "score double, predicted int")
     return out.select(*own, *inner).toDF(*own, *free_names(own, *columns))
 
 

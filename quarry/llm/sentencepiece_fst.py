@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import binary, blocks, ragged
+from .common import binary, blocks, frugal, ragged
 from .words import WordCoder, list_array, per_row
 
 MARK = "▁"
@@ -272,7 +272,7 @@ def encode(docs: DataFrame, model: str | None = None, columns: list[str] = ("doc
                 )
 
     tail = "n_tokens bigint, n_bytes bigint, ids_crc32 bigint, round_trip boolean" if digest else "ids array<int>, n_tokens bigint"
-    return source.mapInArrow(run, kinds + tail)
+    return source.mapInArrow(frugal(run), kinds + tail)
 
 
 def decode(coded: DataFrame, model: str | None = None, columns: list[str] = ("doc_id",)) -> DataFrame:
@@ -290,4 +290,4 @@ def decode(coded: DataFrame, model: str | None = None, columns: list[str] = ("do
             texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(columns))), pa.array(texts, pa.string())], [*columns, "text"])
 
-    return source.mapInArrow(run, kinds + "text string")
+    return source.mapInArrow(frugal(run), kinds + "text string")

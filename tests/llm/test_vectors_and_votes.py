@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.llm import learned_partitions, quality_knn
@@ -109,3 +110,13 @@ def test_driver_holds_no_dense_sample(spark):
     tracemalloc.stop()
     assert len(model.vectors) > n / 2
     assert most < len(model.vectors) * quality_knn.TERMS * np.dtype(np.float32).itemsize
+
+
+def test_short_texts_have_a_bound_too():
+    """Ten thousand short texts in one batch are not held with all terms at once."""
+    batch = pa.record_batch({"quality": pa.array([1] * 10_000, pa.int32()), "text": [f"text {i}" for i in range(10_000)]})
+    tracemalloc.start()
+    assert sum(b.num_rows for b in quality_knn._sample_rows([batch])) == 10_000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2000 * quality_knn.TERMS * np.dtype(np.float32).itemsize
